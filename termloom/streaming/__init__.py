@@ -1,0 +1 @@
+"""No streaming operators: the work this library covers is batch only (see README)."""
