@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -42,24 +43,41 @@ def _ascii_table() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), longer
 
 
+def _char_class(chars: Iterable[str]) -> str:
+    """A regular-expression class of the characters, neighbours written as ranges. ASCII is
+    ruled out first, so ordinary letters cost one comparison."""
+    spans: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if spans and point == spans[-1][1] + 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    inside = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
+    return rf"[[^\x00-\x7F]&&[{inside}]]"
+
+
 def to_ascii(column: Column) -> Column:
     """Accents removed, every other non-ASCII character dropped.
 
-    Letters are translated in one pass; the few characters that expand (ligatures, circled
-    numbers) are looked up only in rows that hold one.
+    Plain ASCII texts pass unchanged. In others, letters are translated in one pass; the few
+    characters that expand (ligatures, circled numbers) are looked up one by one, only in rows
+    that hold one.
     """
     singles, plain, longer = _ascii_table()
-    expanding = "[" + "".join(sorted(longer)) + "]"
+    expanding = _char_class(longer)
     table = F.create_map(*[F.lit(x) for item in longer.items() for x in item])
+    letters = F.translate(column, singles, plain)
     spelled = F.array_join(
         F.transform(
-            F.split(column, ""),
+            F.split(letters, ""),
             lambda ch: F.when(ch.rlike(expanding), F.try_element_at(table, ch)).otherwise(ch),
         ),
         "",
     )
-    once = F.when(column.rlike(expanding), spelled).otherwise(column)
-    return F.regexp_replace(F.translate(once, singles, plain), r"[^\x00-\x7F]", "")
+    known = F.when(letters.rlike(expanding), spelled).otherwise(letters)
+    return F.when(
+        column.rlike(r"[^\x00-\x7F]"), F.regexp_replace(known, r"[^\x00-\x7F]", "")
+    ).otherwise(column)
 
 
 def drop_punctuation(column: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.balance import hash_share
@@ -75,13 +75,19 @@ def refit(
     return fit_classifier(df, names, label, kind, seed, **learner_params(model))
 
 
+def risk(probabilities: Column) -> Column:
+    """The probability of every class but the first."""
+    others = F.slice(probabilities, 2, F.greatest(F.size(probabilities) - 1, F.lit(0)))
+    return F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
+
+
 def score(model: PipelineModel, df: DataFrame, pred: str, prob: str) -> DataFrame:
-    """Add the class and the risk: the probability of every class but the first."""
-    keep = df.columns
+    """Add the class and the risk to each row."""
     scored = model.transform(df)
-    p = vector_to_array(F.col("probability"))
-    rest = F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.lit(0.0), lambda a, b: a + b)
-    return scored.select(*keep, F.col("prediction").cast("int").alias(pred), rest.alias(prob))
+    return scored.select(
+        *df.columns, F.col("prediction").cast("int").alias(pred),
+        risk(vector_to_array(F.col("probability"))).alias(prob),
+    )
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
