@@ -102,6 +102,9 @@ def build_mart(
     reference: tuple[int, int],
     current_terms: Sequence[str],
     corrections: Mapping[str, Mapping[int, float]] | None = None,
+    level: str = "G1",
+    first_year: int = 2007,
+    dropped_term: str = "2022_4",
 ) -> tuple[DataFrame, DataFrame]:
     """Entities and panel from the source tables (``tables.SCHEMAS``).
 
@@ -109,8 +112,10 @@ def build_mart(
     Wide term columns are not made here; ``panel.pivot_terms`` gives them where needed.
     """
     parts = [sources[n] for n in sorted(sources) if n.startswith("enrolment")]
-    panel = build_panel(sources["gpa_term"], union_tables(*parts), sources["programme_area"])
-    registry = clean_registry(sources["registry"])
+    panel = build_panel(
+        sources["gpa_term"], union_tables(*parts), sources["programme_area"], level, dropped_term
+    )
+    registry = clean_registry(sources["registry"], level, first_year, dropped_term)
     entities = attach(registry, clean_biography(sources["biography"]), ["id"])
     entities = attach_marked(
         entities, clean_admission(sources["admission_test"], corrections), ["id"], "admission_match"

@@ -233,3 +233,60 @@ def targets(spark, sf_dir):
 
     out = with_targets(labelled(spark, sf_dir))
     return out.select("id", "y_num", two_way(F.col("y_num")).alias("y_two"), "y_m1", "y_m2", "y_m3", "y_m4")
+
+
+MART = sql.TERMS + ", " + sql.REGISTRY + ", " + sql.ENROLMENT.replace(sql.ORD + ", ", "") + """,
+courses AS (SELECT id, year, trim, count(*) AS course_quant FROM enrolment GROUP BY 1, 2, 3),
+kept AS (
+  SELECT t.*, c.course_quant, dense_rank() OVER w AS trim_order, t - lag(t) OVER w - 1 AS gap,
+    CASE WHEN row_number() OVER w = 1 THEN NULL WHEN program_n = lag(program_n) OVER w THEN 0
+         WHEN program_n IS NOT NULL THEN 1 END AS change
+  FROM terms t LEFT JOIN courses c ON t.id = c.id AND t.year = c.year AND t.trim = c.trim
+  WHERE t.termid <> '2001_3' WINDOW w AS (PARTITION BY t.id ORDER BY t)),
+ent AS (
+  SELECT id, CAST(max(trim_order) AS INTEGER) AS trim_quant, CAST(coalesce(sum(gap), 0) AS BIGINT) AS prev_trims_out_sum,
+    CAST(coalesce(sum(change), 0) AS BIGINT) AS program_change_quant, arg_max(termid, t) AS last_termid,
+    2001 * 4 + 2 - max(t) AS trim_unenroll_quant,
+    arg_max(acad_condition, t) FILTER (WHERE acad_condition IS NOT NULL) AS cond,
+    arg_max('AREA ' || substr(program_n, 1, 1), t) FILTER (WHERE program_n IS NOT NULL) AS last_area_name
+  FROM kept GROUP BY id),
+people AS (
+  SELECT r.*, b.paa_verb, b.paa_verb_2, b.m1, b.m2, b.id IS NOT NULL AS tested FROM registry r LEFT JOIN (
+    SELECT id, CASE WHEN v > 800 THEN NULL ELSE v END AS paa_verb, v2 AS paa_verb_2,
+      list_avg(list_filter([CASE WHEN v > 800 THEN NULL ELSE v END, a, nullif(b, 0)], lambda x: x IS NOT NULL)) AS m1,
+      list_avg(list_filter([v2, a2, b2], lambda x: x IS NOT NULL)) AS m2
+    FROM (SELECT id, CAST(balance_cents % 900 AS DOUBLE) AS v, CAST((balance_cents + id * 3) % 800 AS DOUBLE) AS a,
+        CAST((balance_cents + id * 5) % 800 AS DOUBLE) AS b,
+        CASE WHEN id % 2 = 0 THEN CAST((balance_cents + id * 7) % 800 AS DOUBLE) END AS v2,
+        CAST((balance_cents + id * 11) % 800 AS DOUBLE) AS a2, CAST((balance_cents + id * 13) % 800 AS DOUBLE) AS b2
+      FROM registry WHERE id % 5 <> 0)) b ON r.id = b.id
+  WHERE r.id % 10 <> 0 AND r.id % 11 <> 0 AND r.year_in >= 1996)"""
+
+
+@query(
+    "k_entity_mart",
+    sql.with_(
+        MART,
+        """SELECT p.id, trim_quant, prev_trims_out_sum, program_change_quant, last_termid, last_area_name,
+             CASE WHEN tested THEN 'both' ELSE 'left_only' END AS admission_match,
+             CASE WHEN coalesce(m2 > m1, false) THEN paa_verb_2 ELSE paa_verb END AS paa_verb_fin,
+             CASE WHEN p.id % 4 = 0 THEN NULL ELSE area_in_name END AS nationality,
+             CASE WHEN grad_date IS NOT NULL THEN 'graduate' WHEN last_termid = '2001_2' THEN 'active'
+               WHEN cond LIKE '%SEPARADO%' THEN 'involuntary desertion'
+               WHEN cond LIKE '%SUSPEN%' AND trim_unenroll_quant >= 4 THEN 'voluntary desertion'
+               WHEN cond LIKE '%SUSPEN%' AND trim_unenroll_quant < 4 THEN 'suspended'
+               WHEN trim_unenroll_quant >= 2 AND (cond IS NULL OR cond NOT LIKE '%SUSPEN%') THEN 'voluntary desertion' END AS y
+           FROM people p LEFT JOIN ent ON p.id = ent.id""",
+    ),
+)
+def entity_mart(spark, sf_dir):
+    from termloom.plans.mart import build_mart
+    from termloom.sources.standin_sheets import sheets
+
+    entities, _ = build_mart(
+        sheets(spark, sf_dir), (2001, 2), ["2001_2"], first_year=1996, dropped_term="2001_3"
+    )
+    return entities.select(
+        "id", "trim_quant", "prev_trims_out_sum", "program_change_quant", "last_termid", "last_area_name",
+        "admission_match", "paa_verb_fin", "nationality", "y",
+    )
