@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import codes as fixed
 from termloom.functions.columns import indicator
-from termloom.functions.conditions import first_match, mapped
+from termloom.functions.conditions import first_match
 from termloom.operators.panel import grouped_terms
 
 STATUSES = list(fixed.STATUS_GRADES)
@@ -17,10 +17,14 @@ STATUSES = list(fixed.STATUS_GRADES)
 
 def normalised_grade(grade: Column) -> Column:
     """Withdrawals to R, transfers and exemptions to CO, incomplete to OTH."""
-    table = {g: "R" for g in fixed.WITHDRAWAL_GRADES}
-    table |= {g: "CO" for g in fixed.TRANSFER_GRADES}
-    table |= {g: "OTH" for g in fixed.OTHER_GRADES}
-    return mapped(grade, table)
+    return first_match(
+        [
+            (grade.isin(fixed.WITHDRAWAL_GRADES), "R"),
+            (grade.isin(fixed.TRANSFER_GRADES), "CO"),
+            (grade.isin(fixed.OTHER_GRADES), "OTH"),
+        ],
+        otherwise=grade,
+    )
 
 
 def grade_status(grade: Column) -> Column:

@@ -91,14 +91,16 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequence[flo
     """
     by = list(by)
     value = F.col(column).cast("double")
-    known = df.filter(value.isNotNull())
+    known = df.select(*by, value.alias("_v"))
+    for c in [*by, "_v"]:
+        known = known.filter(F.col(c).isNotNull())
+    bucket = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(float(1 << FINE_BITS))).cast("long")
+    # never null, so that the joins below add no filter of their own and all three uses of
+    # the counts share one scan and one shuffle
+    bucket = F.coalesce(bucket, F.lit(0))
     counts = (
-        known.select(*by, value.alias("_v")).groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_fine",
-            F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(float(1 << FINE_BITS))).cast("long"),
-        )
+        known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_fine", bucket)
         .withColumn("_coarse", F.shiftright("_fine", FINE_BITS - COARSE_BITS))
     )
 
@@ -147,7 +149,9 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequence[flo
 def describe_by(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Count, mean, deviation, least, quartiles and greatest value per group."""
     value = F.col(column).cast("double")
-    known_group = df.dropna(subset=list(by))
+    known_group = df
+    for c in by:
+        known_group = known_group.filter(F.col(c).isNotNull())
     basic = known_group.groupBy(*by).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
