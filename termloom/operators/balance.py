@@ -16,9 +16,19 @@ from termloom.session import checkpointed
 METHODS = ("smote", "smote_enn", "smote_tomek")
 
 
+HASH_RANGE = 1 << 32
+
+
+def hash_number(seed: int, *columns: str) -> Column:
+    """0 .. 2**32 - 1 from the key: the same row always gets the same number, wherever it is
+    and in whatever engine (first eight digits of an MD5 sum)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def hash_share(key: Sequence[str], seed: int, of: int = 10_000) -> Column:
-    """0..of-1 from the key: the same row always gets the same number, wherever it is."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(of))
+    """0 .. of - 1, evenly spread."""
+    return F.pmod(hash_number(seed, *key), F.lit(of))
 
 
 def train_test(
@@ -55,14 +65,14 @@ def oversample(
     if not isinstance(df.schema[key].dataType, T.IntegralType):
         raise ValueError("the key must be an integer column")
     features = list(features)
-    base = checkpointed(df.select(key, label, *[F.col(f).cast("double").alias(f) for f in features]))
+    base = df.select(key, label, *[F.col(f).cast("double").alias(f) for f in features])
     # one row per class
     sizes = {r[label]: r["n"] for r in class_distribution(base, label).collect()}
     largest = max(sizes.values())
     parts = [base.withColumn("synthetic", F.lit(0))]
     for value, n in sorted(sizes.items(), key=lambda item: str(item[0])):
         if n < largest:
-            rows = base.filter(F.col(label).eqNullSafe(F.lit(value)))
+            rows = checkpointed(base.filter(F.col(label).eqNullSafe(F.lit(value))))
             parts.append(_synthetic(rows, label, value, features, key, k, seed, largest - n, n, block))
     out = parts[0]
     for part in parts[1:]:
@@ -91,14 +101,14 @@ def _synthetic(
     reach = checkpointed(distinct.select("key", "vec").join(ends, "key", "left"))
 
     # whole rounds for all rows, one more for the first by hash
-    placed = ranked(vec.withColumn("_h", F.xxhash64(F.lit(seed), "_id")), ["_h", "_id"], "_place")
+    placed = ranked(vec.select("_id", hash_number(seed, "_id").alias("_h")), ["_h", "_id"], "_place")
     rounds, extra = divmod(wanted, held)
-    quota = placed.withColumn("times", F.lit(rounds) + F.when(F.col("_place") < extra, 1).otherwise(0))
-    bases = quota.filter("times > 0").select("_id", "vec", "times")
+    quota = placed.select("_id", (F.lit(rounds) + F.when(F.col("_place") < extra, 1).otherwise(0)).alias("times"))
+    bases = vec.join(quota.filter("times > 0"), "_id")
     draws = exploded_copies(bases.join(reach, "vec").drop("key"), "times", "_j")
 
-    draw = F.xxhash64(F.lit(seed + 1), "_id", "_j")
-    step = F.pmod(F.xxhash64(F.lit(seed + 2), "_id", "_j"), F.lit(1 << 30)) / float(1 << 30)
+    draw = hash_number(seed + 1, "_id", "_j")
+    step = hash_number(seed + 2, "_id", "_j") / float(HASH_RANGE)
     # a class of one distinct row has no neighbour: the row itself is repeated
     end = F.when(
         F.size("ends") > 0,

@@ -202,7 +202,17 @@ def pca_explained(spark, sf_dir):
     return explained_table(fit_components(rows, "features", 8), rows)
 
 
-@query("l_split")
+HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
+@query(
+    "l_split",
+    sql.with_(
+        sql.LABELLED,
+        f"""SELECT id, CAST(coalesce(year_desert = '1st year', false) AS INTEGER) AS y_m1,
+              CASE WHEN {HASH.format("'42|' || id")} % 10000 < 2500 THEN 'test' ELSE 'train' END AS part FROM labelled""",
+    ),
+)
 def split(spark, sf_dir):
     train, test = balance.train_test(data.people(spark, sf_dir))
     return train.select("id", "y_m1", F.lit("train").alias("part")).unionByName(
@@ -220,7 +230,31 @@ def one_against_rest(spark, sf_dir):
     )
 
 
-@query("l_smote")
+SMOTE = f"""e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(label = 0 AS INTEGER) AS is_zero FROM embeddings),
+  few AS (SELECT id, v FROM e WHERE is_zero = 1),
+  size AS (SELECT count(*) FILTER (WHERE is_zero = 1) AS few, count(*) FILTER (WHERE is_zero = 0) AS many FROM e),
+  quota AS (SELECT id, v, (many - few) // few + CASE WHEN place < (many - few) % few THEN 1 ELSE 0 END AS times
+    FROM (SELECT id, v, row_number() OVER (ORDER BY {HASH.format("'42|' || id")}, id) - 1 AS place FROM few), size),
+  near AS (SELECT id, list(w ORDER BY d, other) AS ends FROM (
+    SELECT a.id, b.id AS other, b.v AS w, list_distance(a.v, b.v) AS d,
+      row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r
+    FROM few a JOIN few b ON a.id <> b.id) WHERE r <= 5 GROUP BY id),
+  drawn AS (SELECT id, v, unnest(range(times)) AS j FROM quota),
+  made AS (SELECT d.id, d.v, n.ends[{HASH.format("'43|' || d.id || '|' || d.j")} % len(n.ends) + 1] AS w,
+      {HASH.format("'44|' || d.id || '|' || d.j")} / 4294967296.0 AS u FROM drawn d JOIN near n ON d.id = n.id)"""
+
+
+@query(
+    "l_smote",
+    sql.with_(
+        SMOTE,
+        "SELECT id, is_zero, 0 AS synthetic, "
+        + ", ".join(f"v[{i + 1}] AS {a}" for i, a in enumerate(AXES))
+        + " FROM e UNION ALL SELECT id, 1, 1, "
+        + ", ".join(f"v[{i}] + u * (w[{i}] - v[{i}])" for i in range(1, 65))
+        + " FROM made",
+    ),
+)
 def smote(spark, sf_dir):
     return balance.oversample(one_against_rest(spark, sf_dir), "is_zero", AXES)
 
