@@ -22,10 +22,13 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str, name: str = "pct") -> DataFrame:
-    """Frequencies as percent of all known values."""
-    whole = Window.partitionBy(F.lit(0))  # over one row per distinct value
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn(name, F.col("n") / F.sum("n").over(whole) * 100)
+    """Frequencies as percent of all known values. The total travels as a one-row table."""
+    known = df.filter(F.col(column).isNotNull())
+    total = known.agg(F.count(F.lit(1)).alias("_total")).withColumn("_all", F.lit(1))
+    counts = known.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    return counts.join(F.broadcast(total), "_all").select(
+        column, "n", (F.col("n") / F.col("_total") * 100).alias(name)
+    )
 
 
 def contingency(df: DataFrame, rows: str, columns: str, values: Sequence, prefix: str = "") -> DataFrame:

@@ -1,21 +1,19 @@
 """Token features: lists over a year, vocabulary, counts per entity.
 
-The long form (entity, token, n) has no limit on the vocabulary. Vectors for model fitting
-are sparse and need a vocabulary the model itself can hold; that is checked, not cut off.
+Counts are kept in long form (entity, token, n): no column per token, no list per entity, no
+limit on the vocabulary. Components are learned from and applied to this form
+(``components.fit_count_components``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
 
-MOST_TOKENS = 65_535  # columns the principal components of Spark ML can take
-
 
 def joined_lists(df: DataFrame, lists: Sequence[str], name: str) -> DataFrame:
     """Several list columns of a row as one list; a missing list adds nothing."""
@@ -45,15 +43,3 @@ def token_counts(exploded: DataFrame, key: str, learned: DataFrame | None = None
     """
     counts = exploded.filter(F.col("token") != "").groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     return counts if learned is None else counts.join(learned.select("token"), "token", "left_semi")
-
-
-def fit_count_vectors(df: DataFrame, items: str, output: str = "token_counts") -> CountVectorizerModel:
-    """Learn the vocabulary of a list column for model fitting (learn it on training rows)."""
-    size = df.select(F.explode(items).alias("token")).filter("token != ''").distinct().count()
-    if size > MOST_TOKENS:
-        raise ValueError(
-            f"{size} distinct tokens; component models take {MOST_TOKENS}. Use token_counts (long form)."
-        )
-    return CountVectorizer(inputCol=items, outputCol=output, vocabSize=max(size, 1), minDF=0.0).fit(
-        df.withColumn(items, F.filter(F.col(items), lambda t: t != ""))
-    )

@@ -5,18 +5,19 @@ Queries that fit iterative models have no SQL; their properties are tested in ``
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from termloom.functions.text import clean
 from termloom.operators import balance, models
 from termloom.operators.cascade import delivery, fit_cascade, load_cascade, save_cascade, score_cascade
-from termloom.operators.components import Components, explained_table, fit_components
+from termloom.operators.components import (
+    Components, explained_table, fit_components, fit_count_components,
+)
 from termloom.operators.encode import area_code, condition_code, encode_labels, fit_labels, sex_code
 from termloom.operators.impute import Chain, fit_class_chain, fit_linear_chain
 from termloom.operators.panel import pivot_terms, year_window
 from termloom.operators.summaries import histogram, value_counts
-from termloom.operators.vocabulary import fit_count_vectors
 from termloom.plans import sql, standin_models as data
 from termloom.plans.registry import query
 from termloom.plans.training import entry_table, year_feature_names
@@ -171,14 +172,19 @@ def impute_where_null(spark, sf_dir):
            JOIN quant USING (id, year, trim) WHERE trim_order <= 4 AND trim_quant >= 4 GROUP BY id""",
     ),
 )
-def course_vectors(spark, sf_dir):
-    courses = checkpointed(data.year_courses(spark, sf_dir, standins.panel_with_quant(spark, sf_dir), 1))
-    words = fit_count_vectors(courses, "items", "counts")
-    values = vector_to_array(F.col("counts"))
-    return words.transform(courses).select(
-        "id", F.aggregate(values, F.lit(0.0), lambda a, b: a + b).cast("long").alias("n_courses"),
-        F.size(F.filter(values, lambda v: v > 0)).cast("long").alias("n_distinct"),
-    )
+def course_totals(spark, sf_dir):
+    counts = data.year_courses(spark, sf_dir, standins.panel_with_quant(spark, sf_dir), 1)
+    return counts.groupBy("id").agg(F.sum("n").alias("n_courses"), F.count(F.lit(1)).alias("n_distinct"))
+
+
+@query("l_course_components")
+def course_components(spark, sf_dir):
+    """Components of the course counts of the first year, learned and applied in long form."""
+    panel = checkpointed(standins.panel_with_quant(spark, sf_dir))
+    counts = checkpointed(data.year_courses(spark, sf_dir, panel, 1))
+    keys = year_window(panel, 1).select("id").distinct()
+    fitted = fit_count_components(keys, counts, data.COMPONENTS)
+    return fitted.transform(keys, counts)
 
 
 def vectors(spark, sf_dir):

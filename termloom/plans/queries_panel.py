@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.dates import terms_since
 from termloom.operators.panel import first_term_check, pivot_terms, year_window
+from termloom.operators.spread import exploded_copies
 from termloom.operators.summaries import chunked_lists
 from termloom.operators.vocabulary import joined_lists, list_tokens, text_tokens, token_counts, vocabulary
 from termloom.plans import sql
@@ -138,31 +139,42 @@ def course_counts(spark, sf_dir):
     ),
 )
 def year_lists(spark, sf_dir):
-    lists = chunked_lists(
-        standins.enrolment(spark, sf_dir), ["id", "year", "trim"], {"courses": "clave"}, ["o_orderkey", "line", "clave"]
-    ).filter("chunks = 1")
     window = year_window(standins.panel_with_quant(spark, sf_dir), 1).select("id", "year", "trim", "trim_order")
-    joined = lists.join(window, ["id", "year", "trim"])
-    # four terms per entity, each with its list
-    wide = joined.groupBy("id").agg(
-        *[F.max(F.when(F.col("trim_order") == n, F.col("courses").cast("array<string>"))).alias(f"t{n}") for n in range(1, 5)]
+    placed = standins.enrolment(spark, sf_dir).join(window, ["id", "year", "trim"]).withColumn(
+        "item", F.struct("trim_order", "clave")
     )
-    year = joined_lists(wide, [f"t{n}" for n in range(1, 5)], "year01_course_list")
-    return year.select(
-        "id", F.array_join("year01_course_list", " ").alias("year01_course_list"),
-        F.size("year01_course_list").cast("long").alias("n"),
+    lists = chunked_lists(placed, ["id"], {"items": "item"}, ["o_orderkey", "line", "clave"])
+    return lists.select(
+        "id", F.array_join(F.transform("items", lambda i: i["clave"].cast("string")), " ").alias("year01_course_list"),
+        F.col("size").alias("n"),
     )
 
 
+@query(
+    "i_wide_lists",
+    sql.with_(
+        sql.PANEL,
+        """SELECT id, string_agg(program_n, ' ' ORDER BY trim_order) FILTER (WHERE program_n IS NOT NULL) AS programmes
+           FROM panel WHERE trim_order <= 4 GROUP BY id HAVING count(program_n) > 0""",
+    ),
+)
+def wide_lists(spark, sf_dir):
+    """List columns of the first terms, one per term, joined row by row; null lists add nothing."""
+    listed = standins.panel(spark, sf_dir).filter("trim_order <= 4").withColumn(
+        "l", F.when(F.col("program_n").isNotNull(), F.array("program_n"))
+    )
+    wide = pivot_terms(listed, ["l"], range(1, 5))
+    joined = joined_lists(wide, [f"trim{n:02d}_l" for n in range(1, 5)], "all_terms")
+    return joined.filter(F.size("all_terms") > 0).select("id", F.array_join("all_terms", " ").alias("programmes"))
+
+
 @query(
     "i_explode_lists",
     sql.with_(COURSES, "SELECT id, CAST(clave AS VARCHAR) AS token FROM year1"),
 )
 def exploded(spark, sf_dir):
-    repeated = first_year_courses(spark, sf_dir).withColumn(
-        "items", F.array_repeat(F.col("clave").cast("string"), F.col("k").cast("int"))
-    )
-    return list_tokens(repeated, "id", "items")
+    single = first_year_courses(spark, sf_dir).withColumn("items", F.array(F.col("clave").cast("string")))
+    return list_tokens(exploded_copies(single, "k", "_copy"), "id", "items")
 
 
 TOKENS = r"""tok AS (SELECT doc_id, token FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array  # noqa: F401  (re-exported for queries)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,17 +56,16 @@ def model_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def year_courses(spark: SparkSession, sf_dir: str, panel: DataFrame, year_no: int) -> DataFrame:
-    """The list of course codes of a study year. Events are reduced to counts per course
-    before they are listed, so a list is bounded by the catalogue and the counts."""
+    """How often each course code occurs in a study year: ``id, token, n``. Events are reduced
+    to counts before they meet the panel."""
     counted = (
         standins.enrolment(spark, sf_dir)
         .groupBy("id", "year", "trim", (F.col("teachid") % CATALOGUE).alias("course")).agg(F.count(F.lit(1)).alias("k"))
     )
     window = year_window(panel, year_no).select("id", "year", "trim")
-    per_year = counted.join(window, ["id", "year", "trim"]).groupBy("id", "course").agg(F.sum("k").alias("k"))
-    entry = F.struct("course", F.array_repeat(F.concat(F.lit("c"), F.col("course")), F.col("k").cast("int")).alias("l"))
-    return per_year.groupBy("id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["l"])).alias("items")
+    return (
+        counted.join(window, ["id", "year", "trim"])
+        .groupBy("id", F.concat(F.lit("c"), F.col("course")).alias("token")).agg(F.sum("k").alias("n"))
     )
 
 

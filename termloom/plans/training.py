@@ -6,15 +6,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from termloom.operators.components import Components, fit_components
+from termloom.operators.components import CountComponents, fit_count_components
 from termloom.operators.encode import encode_labels, fit_labels
 from termloom.operators.impute import Chain, fit_class_chain
 from termloom.operators.panel import pivot_terms, year_window
-from termloom.operators.vocabulary import fit_count_vectors
 from termloom.session import checkpointed
 
 
@@ -43,11 +40,20 @@ def entry_table(
 
 @dataclass
 class YearModels:
-    """What a year's table needs from training: condition chain, vocabulary, components."""
+    """What a year's table needs from training: condition chain and course components."""
 
     chain: Chain
-    words: CountVectorizerModel
-    components: Components
+    components: CountComponents
+
+    def save(self, path: str) -> None:
+        self.chain.save(f"{path}/conditions")
+        self.components.save(f"{path}/components")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession, targets: Sequence[str]) -> "YearModels":
+        return cls(
+            Chain.load(f"{path}/conditions", targets), CountComponents.load(f"{path}/components", spark)
+        )
 
 
 def year_table(
@@ -64,32 +70,28 @@ def year_table(
     """One row per entity that completed the year.
 
     ``panel`` has term order, ``trim_quant``, numeric attributes and the coded condition (null
-    where unknown); ``courses`` has ``key, items`` (list of tokens of the year). Missing
-    attributes count as 0. The models come from training (``fitted``) or are learned here.
+    where unknown); ``courses`` has ``key, token, n`` for the year. Missing attributes count
+    as 0. The models come from training (``fitted``) or are learned here.
     """
     orders = term_orders(year_no)
     wide = pivot_terms(year_window(panel, year_no), [*attributes, condition], orders, key)
-    wide = wide.fillna(0, subset=term_names(year_no, attributes))
-    wide = checkpointed(
-        wide.join(courses, key, "left").withColumn(
-            "items", F.coalesce("items", F.array().cast("array<string>"))
-        )
-    )
-    targets = [f"trim{n:02d}_{condition}" for n in orders]
+    wide = checkpointed(wide.fillna(0, subset=term_names(year_no, attributes)))
+    targets = condition_names(year_no, condition)
     if fitted is None:
         steps = [[f"trim{n:02d}_{a}" for a in attributes] for n in orders]
-        words = fit_count_vectors(wide, "items", "_words")
         fitted = YearModels(
-            fit_class_chain(wide, targets, steps, max_iter=max_iter), words,
-            fit_components(words.transform(wide), "_words", components),
+            fit_class_chain(wide, targets, steps, max_iter=max_iter),
+            fit_count_components(wide.select(key), courses, components, key),
         )
-    filled = fitted.chain.apply(wide)
-    scored = fitted.components.transform(fitted.words.transform(filled))
-    return scored.select(key, *term_names(year_no, attributes), *targets, *fitted.components.names()), fitted
+    scored = fitted.components.transform(fitted.chain.apply(wide), courses, key)
+    return scored.select(key, *year_feature_names(year_no, attributes, condition, fitted)), fitted
+
+
+def condition_names(year_no: int, condition: str) -> list[str]:
+    return [f"trim{n:02d}_{condition}" for n in term_orders(year_no)]
 
 
 def year_feature_names(year_no: int, attributes: Sequence[str], condition: str, fitted: YearModels) -> list[str]:
     return [
-        *term_names(year_no, attributes), *[f"trim{n:02d}_{condition}" for n in term_orders(year_no)],
-        *fitted.components.names(),
+        *term_names(year_no, attributes), *condition_names(year_no, condition), *fitted.components.names()
     ]

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from termloom.operators import models
 from termloom.operators.cascade import Stage, fit_cascade, load_cascade, save_cascade, score_cascade
-from termloom.operators.components import Components, fit_components
+from termloom.operators.components import (
+    Components, CountComponents, fit_components, fit_count_components,
+)
 from termloom.operators.encode import encode_labels, fit_labels
 from termloom.operators.impute import Chain, fit_class_chain, fit_linear_chain
-from termloom.operators.vocabulary import fit_count_vectors
 from tests.conftest import collect
 
 
@@ -35,12 +36,23 @@ def test_more_components_than_dimensions(spark):
     assert fit_components(df.withColumn("f", array_to_vector("v")), "f", 125).size == 2
 
 
-def test_count_vectors(spark):
-    df = spark.createDataFrame([(1, ["A", "B", "A", "C"]), (2, [""]), (3, [])], "id long, items array<string>")
-    model = fit_count_vectors(df, "items", "n")
-    assert set(model.vocabulary) == {"A", "B", "C"}
-    row = model.transform(df).filter("id = 1").first()
-    assert {model.vocabulary[i]: row["n"][i] for i in range(3)} == {"A": 2.0, "B": 1.0, "C": 1.0}
+def test_count_components_match_svd(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    matrix = rng.poisson(0.6, (50, 12))
+    matrix[7] = 0  # an entity without any course is a row of zeros
+    rows = [(i, f"c{j}", int(n)) for i, r in enumerate(matrix) for j, n in enumerate(r) if n]
+    counts = spark.createDataFrame([*rows, (999, "other", 5)], "id long, token string, n long")
+    keys = spark.range(50)
+    fitted = fit_count_components(keys, counts, 4)
+    fitted.save(str(tmp_path / "cc"))
+    extra = counts.union(spark.createDataFrame([(3, "never seen", 2)], "id long, token string, n long"))
+    out = CountComponents.load(str(tmp_path / "cc"), spark).transform(keys, extra).orderBy("id").collect()
+    scores = np.array([[r[n] for n in fitted.names()] for r in out])
+    centred = matrix - matrix.mean(axis=0)
+    s = np.linalg.svd(centred, compute_uv=False)
+    vt = np.linalg.svd(centred, full_matrices=False)[2]
+    assert np.allclose(np.abs(scores), np.abs(centred @ vt[:4].T))
+    assert np.allclose(fitted.explained, (s**2 / (s**2).sum())[:4])
 
 
 def test_encoder_gives_unseen_and_null_the_next_code(spark):
