@@ -96,6 +96,8 @@ def test_class_chain(spark):
     assert chain.models[1] is None
     got = chain.apply(df).collect()
     assert all(r["c1"] == (3 if r["id"] % 2 else 12) and r["c2"] == 3 for r in got)
+    single = fit_class_chain(df.withColumn("c2", F.when(F.col("id") > 5, F.col("c2"))), ["c2"], [["x"]])
+    assert {r["c2"] for r in single.apply(df.withColumn("c2", F.lit(None).cast("int"))).collect()} == {3}
 
 
 def test_evaluation_with_a_class_never_predicted(spark):
