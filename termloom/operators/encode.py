@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from termloom.functions import codes as fixed
 from termloom.functions.conditions import codes
 from termloom.operators.spread import lookup_join, ranked
+from termloom.session import checkpointed
 
 
 def fit_labels(df: DataFrame, column: str) -> DataFrame:
     """Known values in alphabetical order with codes 0, 1, 2..."""
     values = df.select(F.col(column).alias("value")).dropna().distinct()
-    return ranked(values, ["value"], "code")
+    return checkpointed(ranked(values, ["value"], "code"))
 
 
 def encode_labels(
@@ -28,10 +29,10 @@ def encode_labels(
     offset: int = 0,
 ) -> DataFrame:
     """Replace values by their codes plus ``offset``. Missing and unseen values share the
-    first code after the last one."""
+    first code after the last one. ``table`` is a stored table, as ``fit_labels`` gives it."""
     lookup = table.select(F.col("value").alias(column), F.col("code").alias("_code"))
     unseen = table.count()
-    joined = lookup_join(df, lookup, [column], spread)
+    joined = lookup_join(df, lookup, [column], spread, stored=True)
     return joined.withColumn(name, (F.coalesce("_code", F.lit(unseen)) + offset).cast("int")).drop("_code")
 
 

@@ -114,13 +114,14 @@ def lookup_join(
     spread: Sequence[str],
     *,
     most_rows: int = BROADCAST_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Left join to a lookup derived from data.
 
-    The lookup is computed once, written and counted; it is broadcast only within
-    ``most_rows`` and joined with salting otherwise.
+    The lookup is computed once, written (unless it is ``stored`` already) and counted; it is
+    broadcast only within ``most_rows`` and joined with salting otherwise.
     """
-    kept = checkpointed(lookup)
+    kept = lookup if stored else checkpointed(lookup)
     if kept.count() <= most_rows:
         return left.join(F.broadcast(kept), list(keys), "left").select(
             *left.columns, *[c for c in lookup.columns if c not in keys]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.operators.spread import left_join_spread
+
 # Bits of the two bucket levels of ``quantiles``: the second refines the first.
 COARSE_BITS = 6
 FINE_BITS = 18
@@ -237,7 +239,9 @@ def chunked_lists(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
         .select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("chunks"))
     )
-    placed = df.join(large, keys, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    # salted, and shuffled again by chunk below: a plain join on the keys would leave all
+    # chunks of a hot group in the task of its key
+    placed = left_join_spread(df, large, keys, spread).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64(*spread), F.col("chunks")).cast("int"))
     return placed.groupBy(*keys, "chunks", "chunk").agg(
         F.count(F.lit(1)).alias("size"),

@@ -30,7 +30,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_targets(labelled(spark, sf_dir)).withColumns(
         {"sex_n": F.coalesce(sex_code(F.col("sex")), F.lit(2)), "y_two": two_way(F.col("y_num"))}
     )
-    return checkpointed(rows)
+    return checkpointed(rows.select("id", "y", "program_in", "sex", *NUMERIC, *CATEGORIES, *TARGETS))
 
 
 def closed_and_open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
