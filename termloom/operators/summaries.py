@@ -24,13 +24,11 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str, name: str = "pct") -> DataFrame:
-    """Frequencies as percent of all known values. The total travels as a one-row table."""
+    """Frequencies as percent of all known values. The total is a scalar subquery."""
     known = df.filter(F.col(column).isNotNull())
-    total = known.agg(F.count(F.lit(1)).alias("_total")).withColumn("_all", F.lit(1))
-    counts = known.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
-    return counts.join(F.broadcast(total), "_all").select(
-        column, "n", (F.col("n") / F.col("_total") * 100).alias(name)
-    )
+    total = known.agg(F.count(F.lit(1))).scalar()
+    counts = known.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn(name, F.col("n") / total * 100)
 
 
 def contingency(df: DataFrame, rows: str, columns: str, values: Sequence, prefix: str = "") -> DataFrame:
@@ -203,22 +201,20 @@ def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins between the least and the greatest value: bin, left edge, count.
 
-    The range travels as a one-row table keyed by a constant.
+    The range is a scalar subquery.
     """
-    value = F.col(column).cast("double")
-    edges = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_all", F.lit(1))
-    width = (F.col("_hi") - F.col("_lo")) / bins
+    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    edges = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
+    placed = values.withColumn("_e", edges).select(
+        "_v", F.col("_e.lo").alias("_lo"), ((F.col("_e.hi") - F.col("_e.lo")) / bins).alias("_w")
+    )
     bin_no = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(F.floor((value - F.col("_lo")) / width) + 1, F.lit(bins)),
-    ).otherwise(F.lit(1))
-    return (
-        df.filter(value.isNotNull()).select(column).withColumn("_all", F.lit(1))
-        .join(F.broadcast(edges), "_all")
-        .groupBy(bin_no.cast("int").alias("bin"), F.col("_lo"), width.alias("_w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("bin", (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("left_edge"), "n")
+        F.col("_w") > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_w")) + 1, F.lit(bins))
+    ).otherwise(1)
+    counted = placed.select(bin_no.cast("int").alias("bin"), "_lo", "_w").groupBy("bin", "_lo", "_w").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    return counted.select("bin", (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("left_edge"), "n")
 
 
 def chunked_lists(

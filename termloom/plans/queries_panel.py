@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termloom.functions.dates import terms_since
+from termloom.operators import checks
+from termloom.operators.grading import STATUSES, with_grade_status
 from termloom.operators.panel import first_term_check, pivot_terms, year_window
+from termloom.operators.rows import union_tables
 from termloom.operators.spread import exploded_copies
 from termloom.operators.summaries import chunked_lists
 from termloom.operators.vocabulary import joined_lists, list_tokens, text_tokens, token_counts, vocabulary
@@ -302,3 +305,34 @@ def entity_mart(spark, sf_dir):
         "id", "trim_quant", "prev_trims_out_sum", "program_change_quant", "last_termid", "last_area_name",
         "admission_match", "paa_verb_fin", "nationality", "y",
     )
+
+
+@query(
+    "s_checks",
+    sql.with_(
+        sql.LABELLED + ", " + sql.GRADED.replace(sql.ORD + ", ", ""),
+        """SELECT 'unique_key' AS "check", count(*) - count(DISTINCT id) AS failures FROM labelled
+           UNION ALL SELECT 'frequency_complete', count(*) - count(y) - count(*) FILTER (WHERE y IS NULL) FROM labelled
+           UNION ALL SELECT 'no_suspended', count(*) FILTER (WHERE y = 'suspended') FROM labelled
+           UNION ALL SELECT 'out_one_term', count(*) FILTER (WHERE y IS NULL AND trim_unenroll_quant <> 1) FROM labelled
+           UNION ALL SELECT 'same_keys', count(*) FROM (SELECT id FROM registry EXCEPT SELECT id FROM panel)
+           UNION ALL SELECT 'no_status_without_grade', count(*) FILTER (WHERE grade IS NULL AND grade_status IS NOT NULL) FROM graded
+           UNION ALL SELECT 'terms_with_enrolments', count(*) FROM (SELECT id, year, trim FROM panel EXCEPT SELECT id, year, trim FROM graded)""",
+    ),
+)
+def consistency_checks(spark, sf_dir):
+    """The checks the jobs make of their own results, with the number of failures each."""
+    people = labelled(spark, sf_dir)
+    terms = standins.terms(spark, sf_dir)
+    graded = with_grade_status(standins.enrolment(spark, sf_dir))
+    status = sum((F.col(s) for s in STATUSES), F.lit(0))
+    results = [
+        checks.unique_key(people, ["id"]),
+        checks.frequency_complete(people, "y"),
+        checks.no_rows(people, F.col("y") == "suspended", "no_suspended"),
+        checks.no_rows(people, F.col("y").isNull() & (F.col("trim_unenroll_quant") != 1), "out_one_term"),
+        checks.same_keys(standins.registry(spark, sf_dir), terms, ["id"]),
+        checks.no_rows(graded, (F.col("grade_nan") == 1) & (status != 0), "no_status_without_grade"),
+        checks.same_keys(terms, graded, ["id", "year", "trim"], "terms_with_enrolments"),
+    ]
+    return union_tables(*results)
