@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.spread import left_join_spread
+from termloom.operators.spread import key_counts, left_join_spread
 
 
 def union_tables(*tables: DataFrame) -> DataFrame:
@@ -34,14 +34,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def flag_repeated(df: DataFrame, keys: Sequence[str], spread: Sequence[str], name: str = "dup") -> DataFrame:
-    """Mark every row whose key occurs more than once."""
-    repeated = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        .select(*keys, F.lit(True).alias(name))
-    )
-    return left_join_spread(df, repeated, keys, spread).withColumn(
-        name, F.coalesce(F.col(name), F.lit(False))
-    )
+    """Mark every row whose key occurs more than once. Nulls count as equal to each other."""
+    keyed = df.withColumn("_key", F.struct(*keys))  # a struct of nulls is itself no null
+    counts = key_counts(keyed, ["_key"])
+    repeated = counts.filter("_n > 1").select("_key", F.lit(True).alias(name))
+    marked = left_join_spread(keyed, repeated, ["_key"], spread, counts=counts)
+    return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False))).drop("_key")
 
 
 def split_population(df: DataFrame, label: str, open_values: Sequence) -> tuple[DataFrame, DataFrame]:

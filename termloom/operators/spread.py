@@ -55,13 +55,19 @@ def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") ->
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], least_rows: int = HOT_ROWS) -> DataFrame:
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key (known keys only) as ``keys, _n``. Callers that need it more than once pass
+    it on, so that Spark plans the same shuffle and runs it once."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], least_rows: int = HOT_ROWS) -> DataFrame:
     """The (at most HOT_KEYS) keys with the most rows, if they have ``least_rows`` or more."""
     return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS)
-        .filter(F.col("_rows") >= least_rows)
-        .select(*keys)
+        counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+        .filter(F.col("_n") >= least_rows).select(*keys)
     )
 
 
@@ -73,15 +79,19 @@ def left_join_spread(
     *,
     salts: int = SALTS,
     least_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join that splits hot keys of ``left`` over ``salts`` tasks.
 
+    ``counts`` (from ``key_counts``) saves counting the keys of ``left`` again.
+
     ``spread`` names columns of ``left`` whose hash picks the salt. Only the rows of
     ``right`` that match a hot key are repeated. Rows with a null key match nothing and are
     spread as well, so a third of all rows without a key does no harm.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys, least_rows).withColumn("_hot", F.lit(True))
+    counted = key_counts(left, keys) if counts is None else counts
+    hot = hot_keys(counted, keys, least_rows).withColumn("_hot", F.lit(True))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salted_left = (
         left.join(F.broadcast(hot), keys, "left")

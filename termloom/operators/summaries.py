@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.operators.spread import left_join_spread
+from termloom.operators.spread import key_counts, left_join_spread
 
 # Bits of the two bucket levels of ``quantiles``: the second refines the first.
 COARSE_BITS = 6
@@ -228,16 +228,17 @@ def chunked_lists(
 
     A group of up to ``most`` rows is one row (chunk 0 of 1). A larger one is dealt out by
     the hash of ``spread`` into several rows, because one array cannot hold an unbounded
-    group; the rows together hold every element.
+    group; the rows together hold every element. Rows without a key belong to no group.
     """
     keys = list(keys)
-    large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
-        .select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("chunks"))
-    )
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    counts = key_counts(df, keys)
+    large = counts.filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("chunks"))
     # salted, and shuffled again by chunk below: a plain join on the keys would leave all
     # chunks of a hot group in the task of its key
-    placed = left_join_spread(df, large, keys, spread).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = left_join_spread(df, large, keys, spread, counts=counts)
+    placed = placed.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64(*spread), F.col("chunks")).cast("int"))
     return placed.groupBy(*keys, "chunks", "chunk").agg(
         F.count(F.lit(1)).alias("size"),

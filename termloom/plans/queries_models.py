@@ -116,24 +116,37 @@ LINEAR = """base AS (SELECT o_orderkey, CAST(month(o_orderdate) AS DOUBLE) AS x,
   c3 AS (SELECT sum(redact * v_left) / sum(v_left * v_left) AS cv FROM p3 WHERE redact IS NOT NULL)"""
 
 
-@query(
-    "l_impute_linear",
-    sql.with_(
-        LINEAR,
-        """SELECT o_orderkey, CAST(mat AS INTEGER) AS paa_mat_fin, CAST(verb AS INTEGER) AS paa_verb_fin,
-             CAST(trunc(coalesce(redact, a + b * x + cm * m_left + cv * v_left)) AS INTEGER) AS paa_redact_fin FROM p3, c3""",
-    ),
+LINEAR_RESULT = sql.with_(
+    LINEAR,
+    """SELECT o_orderkey, CAST(mat AS INTEGER) AS paa_mat_fin, CAST(verb AS INTEGER) AS paa_verb_fin,
+         CAST(trunc(coalesce(redact, a + b * x + cm * m_left + cv * v_left)) AS INTEGER) AS paa_redact_fin FROM p3, c3""",
 )
-def impute_linear(spark, sf_dir):
+SCORES = ["paa_mat_fin", "paa_verb_fin", "paa_redact_fin"]
+
+
+def gappy_scores(spark, sf_dir):
     cents = F.round(F.col("o_totalprice") * 100)
     key = F.col("o_orderkey")
-    scores = ["paa_mat_fin", "paa_verb_fin", "paa_redact_fin"]
-    rows = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.month("o_orderdate").cast("double").alias("x"),
-        F.when(key % 4 != 0, cents % 800).alias(scores[0]), F.when(key % 5 != 0, cents % 700).alias(scores[1]),
-        F.when(key % 7 != 0, cents % 600).alias(scores[2]),
+        F.when(key % 4 != 0, cents % 800).alias(SCORES[0]), F.when(key % 5 != 0, cents % 700).alias(SCORES[1]),
+        F.when(key % 7 != 0, cents % 600).alias(SCORES[2]),
     )
-    return fit_linear_chain(rows, scores, ["x"]).apply(rows).select("o_orderkey", *scores)
+
+
+@query("l_impute_linear", LINEAR_RESULT)
+def impute_linear(spark, sf_dir):
+    rows = gappy_scores(spark, sf_dir)
+    return fit_linear_chain(rows, SCORES, ["x"]).apply(rows).select("o_orderkey", *SCORES)
+
+
+@query("a_model_round_trip", LINEAR_RESULT)
+def model_round_trip(spark, sf_dir):
+    """Fitted models are stored, loaded and give the same fills."""
+    rows = gappy_scores(spark, sf_dir)
+    path = scratch_path(spark, "scores")
+    fit_linear_chain(rows, SCORES, ["x"]).save(path)
+    return Chain.load(path, SCORES).apply(rows).select("o_orderkey", *SCORES)
 
 
 CONDITIONS = [f"trim{n:02d}_cond_code" for n in range(1, 5)]

@@ -434,3 +434,14 @@ def sorted_counts(spark, sf_dir):
 @query("g_first_rows", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10000")
 def first_rows(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(10000)
+
+
+@query(
+    "g_top",
+    "SELECT p_partkey AS feature, p_retailprice AS importance FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20",
+)
+def top_rows(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("feature"), F.col("p_retailprice").alias("importance")).orderBy(
+        F.desc("importance"), "feature"
+    ).limit(20)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from termloom.operators.spread import exploded_copies, hot_keys, left_join_spread, lookup_join, ranked
+from termloom.operators.spread import exploded_copies, hot_keys, key_counts, left_join_spread, lookup_join, ranked
 from termloom.operators.summaries import chunked_lists
 from tests.conftest import collect
 
@@ -30,7 +30,7 @@ def test_ranked_of_nothing(spark):
 
 
 def test_hot_keys(spark):
-    assert collect(hot_keys(skewed(spark), ["k"], 500), "k") == [(7,)]
+    assert collect(hot_keys(key_counts(skewed(spark), ["k"]), ["k"], 500), "k") == [(7,)]
 
 
 def test_left_join_spread_equals_left_join(spark):
@@ -87,7 +87,11 @@ def test_first_per_key_and_flags_on_hot_keys(spark):
     flagged = flag_repeated(df, ["k"], ["row"])
     assert flagged.count() == df.count()
     counts = {k: n for k, n in collect(df.groupBy("k").count(), "k")}
-    assert all(r["dup"] == (r["k"] is not None and counts[r["k"]] > 1) for r in flagged.collect())
+    assert all(r["dup"] == (counts[r["k"]] > 1) for r in flagged.collect())
+    one_null = spark.createDataFrame([(1, None, 2), (2, None, 3), (3, 5, 3), (4, 5, 3)], "row long, a int, b int")
+    assert [r["dup"] for r in flag_repeated(one_null, ["a", "b"], ["row"]).orderBy("row").collect()] == [
+        False, False, True, True,
+    ]
 
 
 def test_group_mode_on_hot_group(spark):
