@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import random
 import time
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
@@ -139,8 +140,6 @@ def grid(space: Mapping[str, Sequence]) -> list[dict]:
 
 def _sampled(points: list[dict], n: int, seed: int) -> list[dict]:
     """A seeded choice without repetition; the whole grid when it has no more than n points."""
-    import random
-
     return points if len(points) <= n else random.Random(seed).sample(points, n)
 
 

@@ -253,31 +253,26 @@ def age_birth(spark, sf_dir):
 @query(
     "k_mode_fill",
     sql.with_(
-        sql.ORD,
-        """SELECT o_orderkey, coalesce(d, m) AS date_in FROM (SELECT * FROM rep) r LEFT JOIN (
-             SELECT year, trim, d AS m FROM (SELECT year, trim, d, row_number() OVER (PARTITION BY year, trim ORDER BY count(*) DESC, d) AS rn
-               FROM rep WHERE d IS NOT NULL GROUP BY year, trim, d) WHERE rn = 1) USING (year, trim)""",
-    ).replace(
-        "FROM orders)",
-        """FROM orders), rep AS (SELECT o_orderkey, year, trim, CASE WHEN o_orderkey % 9 = 0 THEN NULL
-             WHEN year < 1996 OR year > 2000 THEN
-               make_date(CAST(1996 + id % 5 AS INTEGER), CAST(month(o_orderdate) AS INTEGER),
-                 CAST(least(day(o_orderdate), day(last_day(make_date(CAST(1996 + id % 5 AS INTEGER), CAST(month(o_orderdate) AS INTEGER), 1)))) AS INTEGER))
-             ELSE CAST(o_orderdate AS DATE) END AS d FROM ord)""",
-        1,
+        sql.ORD
+        + """, years AS (SELECT o_orderkey, trim, CAST(1996 + id % 5 AS INTEGER) AS year_in,
+               CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM ord),
+             rep AS (SELECT o_orderkey, year_in, trim, CASE WHEN year(d) < 1996 OR year(d) > 2000 THEN
+                 make_date(year_in, CAST(month(d) AS INTEGER),
+                   CAST(least(day(d), day(last_day(make_date(year_in, CAST(month(d) AS INTEGER), 1)))) AS INTEGER))
+               ELSE d END AS d FROM years),
+             modes AS (SELECT year_in, trim, d AS m FROM (
+               SELECT year_in, trim, d, row_number() OVER (PARTITION BY year_in, trim ORDER BY count(*) DESC, d) AS rn
+               FROM rep WHERE d IS NOT NULL GROUP BY year_in, trim, d) WHERE rn = 1)""",
+        "SELECT o_orderkey, coalesce(d, m) AS date_in FROM rep LEFT JOIN modes USING (year_in, trim)",
     ),
 )
 def mode_fill(spark, sf_dir):
     o = standins.orders(spark, sf_dir).select(
-        "o_orderkey", "year", "trim", (F.lit(1996) + F.col("id") % 5).cast("int").alias("year_in"),
+        "o_orderkey", "trim", (F.lit(1996) + F.col("id") % 5).cast("int").alias("year_in"),
         F.when(F.col("o_orderkey") % 9 != 0, F.to_date("o_orderdate")).alias("date_in"),
     )
-    fixed = o.withColumn("date_in", dates.year_repaired(F.col("date_in"), F.col("year_in"), 1996, 2000))
-    from termloom.operators.joins import fill_from_groups
-    from termloom.operators.summaries import group_mode
-
-    modes = group_mode(fixed, ["year", "trim"], "date_in", "_mode")
-    return fill_from_groups(fixed, "date_in", modes, ["year", "trim"], "_mode", ["o_orderkey"]).select("o_orderkey", "date_in")
+    repaired = cleaning.repair_entry_date(o, "date_in", "year_in", "trim", 1996, 2000, ["o_orderkey"])
+    return repaired.select("o_orderkey", "date_in")
 
 
 @query(

@@ -166,6 +166,37 @@ def impute_condition(spark, sf_dir):
     return fit_class_chain(wide, CONDITIONS, STEPS).apply(wide).select("id", *CONDITIONS)
 
 
+@query(
+    "l_impute_kept",
+    sql.with_(
+        sql.PANEL,
+        """, wide AS (SELECT id, trim_order, acad_condition FROM quant WHERE trim_order <= 4 AND trim_quant >= 4)
+           SELECT 'trim0' || trim_order AS term, count(acad_condition) AS n_known, CAST(0 AS BIGINT) AS n_changed,
+             count(*) - count(acad_condition) AS n_filled, CAST(0 AS BIGINT) AS n_missing FROM wide GROUP BY trim_order""",
+    ),
+)
+def impute_kept(spark, sf_dir):
+    """What filling may and may not do: known conditions stay, every unknown one is filled."""
+    wide = first_year_wide(spark, sf_dir)
+    after = fit_class_chain(wide, CONDITIONS, STEPS).apply(wide).select("id", *CONDITIONS)
+    both = wide.select("id", *[F.col(c).alias(f"old_{c}") for c in CONDITIONS]).join(after, "id")
+    cells = both.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(c[:6]).alias("term"), F.col(f"old_{c}").alias("old"), F.col(c).alias("new"))
+                    for c in CONDITIONS
+                ]
+            )
+        ).alias("c")
+    ).select("c.*")
+    return cells.groupBy("term").agg(
+        F.count("old").alias("n_known"), F.count_if(F.col("old") != F.col("new")).alias("n_changed"),
+        F.count_if(F.col("old").isNull() & F.col("new").isNotNull()).alias("n_filled"),
+        F.count_if(F.col("new").isNull()).alias("n_missing"),
+    )
+
+
 @query("l_impute_where_null")
 def impute_where_null(spark, sf_dir):
     """Only the targets with nulls are modelled; the stored chain is loaded and applied."""
