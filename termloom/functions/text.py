@@ -113,5 +113,7 @@ def joined_key(*columns: Column, separator: str = "_") -> Column:
 
 
 def tokens(column: Column) -> Column:
-    """White-space tokens; an empty or blank text has none."""
-    return F.filter(F.split(strip(column), r"\s+"), lambda t: t != "")
+    """White-space tokens; an empty or blank text has none. Stripped first, so a split leaves
+    no empty token and no lambda has to look at each."""
+    bare = strip(column)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from termloom.functions.columns import indicator
 from termloom.functions.dates import term_label, term_number, terms_since, terms_skipped
-from termloom.functions.text import joined_key, zero_padded
+from termloom.functions.text import zero_padded
 
 
 def one_per_term(
@@ -31,14 +31,6 @@ def one_per_term(
     )
 
 
-def with_term_keys(df: DataFrame, entity: str = "id") -> DataFrame:
-    return (
-        df.withColumn("t", term_number(F.col("year"), F.col("trim")))
-        .withColumn("termid", term_label(F.col("year"), F.col("trim")))
-        .withColumn("id_termid", joined_key(F.col(entity), F.col("year"), F.col("trim")))
-    )
-
-
 def term_order(panel: DataFrame, entity: str = "id") -> DataFrame:
     """1, 2, 3... for the terms an entity attended, and the label trim01, trim02..."""
     by_term = Window.partitionBy(entity).orderBy(term_number(F.col("year"), F.col("trim")))
@@ -70,12 +62,6 @@ def change_flag(panel: DataFrame, column: str, name: str, entity: str = "id") ->
     )
 
 
-def last_known(column: str, order: Column | None = None) -> Column:
-    """Aggregate: the value of the latest term in which ``column`` is known."""
-    order = term_number(F.col("year"), F.col("trim")) if order is None else order
-    return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), order))
-
-
 def entity_summary(
     panel: DataFrame,
     last: Sequence[str],

@@ -20,7 +20,7 @@ from termloom.operators.panel import pivot_terms, year_window
 from termloom.operators.summaries import histogram, value_counts
 from termloom.plans import sql, standin_models as data
 from termloom.plans.registry import query
-from termloom.plans.training import entry_table, year_feature_names
+from termloom.plans.training import entry_table
 from termloom.session import checkpointed, scratch_path
 from termloom.sources import standins
 from termloom.sources.standins import table
