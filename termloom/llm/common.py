@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,19 @@ def row_key(*columns: str) -> Column:
 def per_row_key(results: DataFrame, key: str) -> DataFrame:
     """One row per key: rows with one key have equal results."""
     return results.dropDuplicates([key])
+
+
+def text_groups(values: pa.Array, size: int) -> Iterator[list[str]]:
+    """The texts (null as empty) in lists of about ``size`` characters."""
+    some, held = [], 0
+    for x in values:
+        some.append(x.as_py() or "")
+        held += len(some[-1])
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+ship(__name__)

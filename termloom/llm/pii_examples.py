@@ -1,0 +1,95 @@
+"""The small labelled table the field over word shapes is trained on.
+
+Invented lines; a labelled span stands in double square brackets after its kind and a colon.
+"""
+
+from __future__ import annotations
+
+import re
+
+_TABLE = """
+Write to [[email:anna.berg@example.org]] before Friday.
+Write to [[email:anna.berg@example.org]], please.
+Mail: [[email:office7@mail.example.com]]
+His address was [[email:j_smith@corp.example.net]] for years.
+Reach me at [[email:anna.berg(at)example.org]] in the evening.
+Reach me at [[email:bob99(at)example.com]] or come by.
+Send the file to [[email:lee.wong[at]example.com]] today.
+Send it to [[email:karl(at)mail(dot)example(dot)org]] now.
+Contact [[email:sales.team(at)shop(dot)example]] for prices.
+The server is [[ip:10.20.30.40]] on the left rack.
+Traffic came from [[ip:192.168.0.17]] and stopped.
+Blocked [[ip:8.8.4.4]], then [[ip:172.16.254.1]] again.
+Open http://[[ip:10.0.0.12]]/ in the office.
+The card [[card:4111 1111 1111 1111]] was refused.
+Paid with [[card:5500000000000004]] at noon.
+Charge [[card:4012-8888-8888-1881]] once a month.
+Account card [[card:378282246310005]] is closed.
+Call [[phone:+1 (212) 555-0182]] after six.
+Call [[phone:+44 20 7946 0958]] to book.
+Phone [[phone:+49-30-901820]] or write.
+Her number is [[phone:(212) 555-0182]] at work.
+Her number is [[phone:(415) 555-0136]], I think.
+Fax [[phone:212-555-0147]] is out of order.
+Dial [[phone:555-0182]] for the desk.
+Try [[phone:020 7946 0958]] in the morning.
+Ring [[phone:0171-5550182]] or [[phone:0171-5550183]] tomorrow.
+The record of [[id:078-05-1120]] was sealed.
+Her file lists [[id:219-09-9999]] as the number.
+Transfer to [[id:DE89370400440532013000]] by Monday.
+Transfer to [[id:GB29NWBK60161331926819]] at once.
+Account [[id:FR7630006000011234567890189]] was opened.
+The meeting begins at 10:30 in room 14.
+In 1999 there were 12,500 people in 37 towns.
+Version 2.0 came out on 12/05/2014.
+Version 2.0.1 and 10.4 are old.
+The price rose from 3.50 to 4.75 by the end.
+Chapter 7, page 203, has the table.
+About 4 % of 1200 readers agreed.
+Of the 2019 cases, 19 were open on 2019-05-01.
+He won 6-3, 7-5 and went home.
+Licensed under the Apache License, Version 2.0.
+Licensed under CC BY-NC 4.0.
+Released under the MIT License.
+This work is licensed under the GNU General Public License, version 3.
+Copyright (c) 2015 by the authors.
+See section 4.2 (page 18) of the report.
+The and of to in. That it is for with as was on be at by.
+Erst was kein Wort zu sehen, dann kam der Satz.
+Les mots de la langue, et le reste du texte.
+El resto de las palabras, y nada de eso.
+Straße und Übung, für die größte Änderung.
+Élan vital, où ça mène, l'été dernier.
+STOP!! READ!! THIS!! NOW!!
+word | word | Other | word, | word.
+one### two%%% three*** four&&& five$$$ six.
+One$$$ two,### Three.%%% four,&&& Five.***
+Short.
+He said: "No, not yet!" (and left).
+e.g. a well-known half-truth, i.e. an old one.
+x = 3; y = x + 4; print(y)
+It's Anna's turn; don't wait, we'll go.
+and/or his/her notes - all of it - were lost...
+password=hunter2 token: abcdef key="value"
+Visit www.example.com or example.org/page.html today.
+@someone said hi to @others at the #party.
+AKIA1234EXAMPLE and deadbeef00112233 are not people.
+Serial A1B2-C3D4 of type XR-500 failed.
+Number 4467920212765290 is too plain to tell, 123456 too.
+"""
+
+_MARK = re.compile(r"\[\[([a-z]+):(.*?)\]\](?!\])")
+
+
+def rows() -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(line, [(kind, start, end)]) of every line of the table."""
+    out = []
+    for line in _TABLE.strip().split("\n"):
+        text, spans, at = "", [], 0
+        for m in _MARK.finditer(line):
+            text += line[at : m.start()]
+            spans.append((m[1], len(text), len(text) + len(m[2])))
+            text += m[2]
+            at = m.end()
+        out.append((text + line[at:], spans))
+    return out
