@@ -34,7 +34,7 @@ ship(__name__)
 
 CAPACITY = 4096
 END_ID = 1
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 1000
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 300_000
 #: Characters that a worker encodes together.
@@ -264,10 +264,16 @@ def _placed(where: pd.DataFrame):
     return put
 
 
-def ranked(parts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``rank``, from 0 within each length; ``parts`` is a written table."""
-    buckets = max(1, -(-parts.count() // bucket_rows))
-    dealt = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+def ranked(parts: DataFrame, counts: dict[int, int], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds ``rank``, from 0 within each length; ``parts`` is a written table, ``counts`` its lengths.
+
+    A length has one bucket for every ``bucket_rows`` of its pieces, so tasks stay even at any size.
+    """
+    spark = parts.sparkSession
+    # at most ``capacity`` rows
+    widths = spark.createDataFrame([(n, -(-c // bucket_rows)) for n, c in counts.items()], "length long, _n long")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_n"))
+    dealt = parts.join(F.broadcast(widths), "length").withColumn("_b", bucket).drop("_n")
     sizes = dealt.groupBy("length", "_b").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -286,7 +292,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most ``capacity`` rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked(parts).select(*columns, "rank").mapInPandas(
+    return ranked(parts, counts).select(*columns, "rank").mapInPandas(
         _placed(places(plan(counts, capacity))),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, packing, pii, quality_rules, simhash
+from termloom.llm import (
+    decontaminate, licenses, packing, pii, quality_model, quality_rules, quotations, secrets, simhash, toxicity,
+)
 from termloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,67 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+QUOTATIONS = r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)*)', 1), '[^>]', '', 'g')) AS level,
+    trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]*)*)', '')), '[\x20\x09-\x0D]+', ' ', 'g')) AS said
+  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), origin AS (
+  SELECT conv_id, said, min(turn) AS said_at FROM lines WHERE level = 0 AND said <> '' GROUP BY conv_id, said
+), quotes AS (
+  SELECT DISTINCT l.conv_id, l.turn, level, l.said, CASE WHEN said_at < l.turn THEN said_at END AS original
+  FROM lines l LEFT JOIN origin o ON l.conv_id = o.conv_id AND l.said = o.said WHERE level > 0 AND l.said <> ''
+), counts AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(original) AS n_linked, max(level) AS max_level
+  FROM quotes GROUP BY conv_id, turn
+), votes AS (
+  SELECT conv_id, turn, original, count(*) AS n FROM quotes WHERE level = 1 AND original IS NOT NULL
+  GROUP BY conv_id, turn, original
+), replies AS (
+  SELECT conv_id, turn, original AS parent FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, original DESC) = 1
+), chains AS (
+  SELECT conv_id, turn, parent AS root, 1::BIGINT AS depth FROM replies
+  UNION ALL
+  SELECT c.conv_id, c.turn, r.parent, c.depth + 1 FROM chains c JOIN replies r ON c.conv_id = r.conv_id AND c.root = r.turn
+), roots AS (
+  SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM chains GROUP BY conv_id, turn
+)
+SELECT c.conv_id, coalesce(r.root, c.turn) AS thread, c.turn, c.role,
+  coalesce(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
+    lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '') AS own_text,
+  p.parent AS reply_to, coalesce(r.depth, 0)::BIGINT AS depth, coalesce(n_quotes, 0)::BIGINT AS n_quotes,
+  coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::BIGINT AS max_level
+FROM conversations c LEFT JOIN counts k ON c.conv_id = k.conv_id AND c.turn = k.turn
+LEFT JOIN roots r ON c.conv_id = r.conv_id AND c.turn = r.turn
+LEFT JOIN replies p ON c.conv_id = p.conv_id AND c.turn = p.turn
+"""
+
+
+@query("op1_quotation_links", QUOTATIONS)
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.linked(table(spark, sf_dir, "conversations"))
+
+
+def held_out(parts: int, part: int) -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % parts == part
+
+
+def judged(scores: DataFrame, parts: int, part: int, *more: str) -> DataFrame:
+    return scores.select(
+        "doc_id", F.coalesce(held_out(parts, part), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), *more,
+    )
+
+
+@query("op2_subword_quality")
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), "quality", ~held_out(5, 0))
+    return judged(quality_model.scored(docs, model), 5, 0)
+
+
 LINE_FREQUENCY = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
@@ -78,6 +141,22 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_decoding_worklist")
+def op5_decoding_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(table(spark, sf_dir, "documents"))
+
+
+@query("op6_segment_toxicity")
+def op6_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", ~held_out(4, 2))
+    return judged(scores, 4, 2, "n_passages")
+
+
+@query("op7_diagonal_licenses")
+def op7_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 CONTAINMENT = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
