@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Every word (lower case, hashed) scores its log-odds between toxic and other labelled texts under a
-Dirichlet prior in proportion to its frequency, less its uncertainty and less a drift, so that most words
-score below zero. A linear scan finds all maximal segments of a text. Under such scores the best segment
+The tokens of a word (lower case, hashed) are the word and its beginnings. A token's score is its log-odds
+between toxic and other labelled texts under a Dirichlet prior in proportion to its frequency, less its
+uncertainty and less a drift; a word has the best score of its tokens, and most words score below zero. A linear scan finds all maximal segments of a text. Under such scores the best segment
 of a text of n words follows an extreme-value law: lambda solves E exp(lambda s) = 1 over other texts,
 K comes from the median of their best segments, and a segment is significant if its expected number,
 K n exp(-lambda S), is below one. A document's statistic adds up the logarithms of its significant
@@ -33,24 +33,46 @@ ship(__name__)
 
 BITS = 20
 PRIOR = 500.0
-CAUTION = 2.0
-DRIFT = 0.5
+#: Added to every token's prior, so that a token unseen in one class is not boundless.
+FLOOR = 1.0
+CAUTION = 1.5
+DRIFT = 1.0
 LEAST = 5
-EDGE = b".,;:!?()[]{}<>\"'#$%&*|"
+EDGE = ".,;:!?()[]{}<>\"'#$%&*|"
+BEGINNINGS = (4, 5, 6)
+#: Words whose tokens or score a task keeps; the others are worked out each time.
+KEPT_WORDS = 200_000
 
 
-def buckets(text: str) -> tuple[list[bytes], np.ndarray]:
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    hashes = np.fromiter((zlib.crc32(w.strip(EDGE)) for w in words), np.int64, len(words))
-    return words, hashes & (1 << BITS) - 1
+def tokens(word: str) -> list[int]:
+    """Buckets of a word and of its beginnings."""
+    bare = word.strip(EDGE)
+    parts = [f"={bare}", *(f"{n}{bare[:n]}" for n in BEGINNINGS if len(bare) > n)]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (1 << BITS) - 1 for p in parts]
+
+
+class Kept(dict):
+    """A function's values, kept for the first KEPT_WORDS arguments."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        value = self.of(key)
+        if len(self) < KEPT_WORDS:
+            self[key] = value
+        return value
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, n0, n1): in how many texts of either label a bucket occurs, per batch."""
+    kept = Kept(tokens)
     for batch in batches:
         counts = np.zeros((2, 1 << BITS), np.int64)
         for value, label in zip(batch.column(0), batch.column(1)):
-            counts[label.as_py()][np.unique(buckets(value.as_py() or "")[1])] += 1
+            words = set((value.as_py() or "").lower().split())
+            counts[label.as_py()][list({t for w in words for t in kept[w]})] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], ["bucket", "n0", "n1"])
 
@@ -70,7 +92,7 @@ def word_scores(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray
     n0, n1 = (x or 0 for x in counts.agg(F.sum("n0"), F.sum("n1")).first())
     if not n0 or not n1:
         return np.empty(0, np.int64), np.empty(0), 1.0, -DRIFT
-    prior = PRIOR * (F.col("n0") + F.col("n1")) / float(n0 + n1)
+    prior = FLOOR + PRIOR * (F.col("n0") + F.col("n1")) / float(n0 + n1)
     a1, a0 = F.col("n1") + prior, F.col("n0") + prior
     odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
     score = odds - CAUTION * F.sqrt(1 / a1 + 1 / a0) - DRIFT
@@ -117,12 +139,14 @@ def _passages(at: np.ndarray, values: np.ndarray, other: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(1 << BITS, other)
         table[at] = values
+        kept = Kept(lambda word: float(table[tokens(word)].max()))
         for batch in batches:
             counts, found = [], []
             for value in batch.column(1):
-                words, hashed = buckets(value.as_py() or "")
+                words = (value.as_py() or "").lower().split()
+                scores = np.fromiter(map(kept.__getitem__, words), np.float64, len(words))
                 counts.append(len(words))
-                found.append([{"start": s, "end": e, "score": x} for s, e, x in segments(table[hashed])])
+                found.append([{"start": s, "end": e, "score": x} for s, e, x in segments(scores)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(found, _SEGMENTS)], ["doc_id", "n", "segments"]
             )
