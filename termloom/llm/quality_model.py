@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from termloom.llm.common import ship
+from termloom.llm.common import chosen, ship
 
 ship(__name__)
 
@@ -130,17 +130,10 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"scores": [scores.tobytes()], "bias": [bias]})
 
 
-def chosen(labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
-    """(id, label): at most ``sample`` labelled ids; one label an id, the greatest if rows differ."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
-    each = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("long").alias("label"))
-    return each.orderBy(F.xxhash64("id"), "id").limit(sample)
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> tuple[bytes, float]:
     """Train on rows of ``labels`` for which ``learn`` holds."""
     ids = chosen(labels, label, learn, sample)
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select(
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(
         F.coalesce("text", F.lit("")).alias("text"), "label"
     )
     model = rows.repartition(1).mapInPandas(_fit, "scores binary, bias double").first()

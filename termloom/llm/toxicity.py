@@ -8,8 +8,9 @@ K comes from the median of their best segments, and a segment is significant if
 K n exp(-lambda S), is below one. A document's statistic adds up the logarithms of its significant
 segments; a logistic curve, fitted to binned counts of the labelled rows, turns it into a probability.
 
-All labelled rows that may be learned from are counted. Only the words that score above zero (at most
-one for each of 2^BITS buckets) and the bins come to the driver.
+At most ``SAMPLE`` labelled documents are learned from (those with the least hash of their id; whole
+texts), so the list of their ids is small at any size of the input and is broadcast. Only the words that
+score above zero (at most one for each of 2^BITS buckets) and the bins come to the driver.
 
 Defined cases: a null text is empty and has no segment; null labels are not learned; with labels of one
 class only no word scores; rows are scored one by one, so repeated rows, ties and extra columns have no
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ship
+from termloom.llm.common import chosen, ship
 from termloom.session import checkpointed
 
 ship(__name__)
 
+SAMPLE = 20_000
 BITS = 20
 PRIOR = 500.0
 #: Added to every token's prior, so that a token unseen in one class is not boundless.
@@ -77,15 +79,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], ["bucket", "n0", "n1"])
 
 
-def labelled(labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(id, label): one label an id, the greatest if rows differ."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
-    return known.groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("label"))
-
-
 def word_scores(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     """(buckets above zero, their scores, lambda, score of every other word)."""
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "label")
     counts = checkpointed(
         rows.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
@@ -180,15 +176,15 @@ def logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, f
     return float(w[0]), max(float(w[1]), 0.0)
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score, n_passages, statistic) of every row, learned from the rows ``learn`` allows."""
-    ids = labelled(labels, label, learn)
+    ids = checkpointed(chosen(labels, label, learn, sample))
     model = word_scores(docs, ids)
     rate = model[2]
     found = checkpointed(passages(docs, model))
     best = F.coalesce(F.array_max(F.col("segments.score")), F.lit(0.0))
     size = F.log(F.greatest(F.col("n"), F.lit(1)))
-    known = found.join(ids, F.col("doc_id") == F.col("id"))
+    known = found.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
     middle = known.filter("label = 0").agg(F.percentile_approx(rate * best - size, 0.5, 10_000)).first()[0]
     k = (middle or 0.0) + np.log(np.log(2))  # median of the extreme-value law
     excess = F.transform("segments", lambda s: rate * s["score"] - size - float(k))
@@ -198,7 +194,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Dat
         F.log1p(F.aggregate("_excess", F.lit(0.0), lambda a, x: a + x)).alias("statistic"),
     )
     bins = (
-        told.join(ids, F.col("doc_id") == F.col("id"))
+        told.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
         .groupBy(F.round("statistic", 1).alias("x"))  # a logarithm of a sum: some hundred values
         .agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
         .orderBy("x").toPandas()
