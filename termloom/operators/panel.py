@@ -21,9 +21,9 @@ from termloom.functions.text import zero_padded
 def one_per_term(
     df: DataFrame, entity: str, first: str, attributes: Sequence[str], totals: dict[str, Column]
 ) -> DataFrame:
-    """Several rows of an entity and term to one: attributes of the row lowest in ``first``,
-    ``totals`` aggregated over all of them."""
-    best = F.min(F.struct(first, *[a for a in attributes if a != first])).alias("_first")
+    """Several rows of an entity and term to one: attributes of the row lowest in ``first``
+    (a null comes last), ``totals`` aggregated over all of them."""
+    best = F.min(F.struct(F.col(first).isNull().alias("_null"), first, *[a for a in attributes if a != first])).alias("_first")
     return (
         df.groupBy(entity, "year", "trim")
         .agg(best, *[c.alias(name) for name, c in totals.items()])

@@ -19,14 +19,14 @@ def union_tables(*tables: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep one whole row per key: the one that comes first in ``order``.
+    """Keep one whole row per key: the one that comes first in ``order``, known values before nulls.
 
     An aggregate, not a row number: rows are reduced before the shuffle, so a key with very
     many rows costs no more than any other.
     """
     rest = [c for c in df.columns if c not in keys]
-    ordered = [*order, *[c for c in rest if c not in order]]
-    best = F.min(F.struct(*[F.col(c) for c in ordered])).alias("_best")
+    known_first = [x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_null{i}"), F.col(c))]
+    best = F.min(F.struct(*known_first, *[F.col(c) for c in rest if c not in order])).alias("_best")
     return (
         df.groupBy(*keys).agg(best)
         .select(*[F.col(c) if c in keys else F.col(f"_best.`{c}`").alias(c) for c in df.columns])

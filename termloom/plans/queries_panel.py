@@ -81,7 +81,7 @@ def out_now(spark, sf_dir):
     return standins.summary(spark, sf_dir).groupBy("trim_unenroll_quant").agg(F.count(F.lit(1)).alias("n"))
 
 
-ORDERS = list(range(1, 13))
+ORDERS = list(range(1, 17))
 WIDE = ["amount_cents", "program_n", "termid"]
 
 

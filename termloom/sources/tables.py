@@ -51,12 +51,15 @@ SCHEMAS: Mapping[str, str] = {
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
-    """One dataset. CSV needs a schema: types are stated, not guessed from a pass over the data."""
+    """One dataset. CSV needs a schema: types are stated, not guessed from a pass over the data.
+
+    Quoted CSV values may hold line breaks and doubled quotes; a malformed row is an error.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV dataset needs a schema")
-        return reader.option("header", True).csv(path)
+        return reader.csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST")
     return reader.format(fmt).load(path)
 
 
@@ -75,7 +78,8 @@ def write_table(
         df = ranked(df, df.columns, row_number).select(row_number, *df.columns)
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer = writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        writer.csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     else:
         writer.format(fmt).save(path)
     return path
