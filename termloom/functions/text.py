@@ -10,11 +10,16 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = " \t\n\r\x0b\x0c"
+# fixed values: every character that counts as white space in Unicode
+_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACES = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in _SPACE) + "]"
 
 
 def strip(column: Column) -> Column:
-    """Remove white space (not only blanks) from both ends."""
+    """Remove white space of any kind, no-break spaces included, from both ends."""
     return F.btrim(column, F.lit(_SPACE))
 
 
@@ -85,7 +90,7 @@ def drop_punctuation(column: Column) -> Column:
 
 
 def blank_to_null(column: Column) -> Column:
-    return F.when(~column.rlike(r"^\s*$"), column)
+    return F.when(strip(column) != "", column)
 
 
 def null_if_short(column: Column, longest: int = 2) -> Column:
@@ -116,4 +121,4 @@ def tokens(column: Column) -> Column:
     """White-space tokens; an empty or blank text has none. Stripped first, so a split leaves
     no empty token and no lambda has to look at each."""
     bare = strip(column)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{_SPACES}+"))

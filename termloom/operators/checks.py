@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.summaries import uniqueness
+from termloom.operators.summaries import missing, uniqueness, value_counts
 
 
 def unique_key(df: DataFrame, keys: Sequence[str], name: str = "unique_key") -> DataFrame:
@@ -33,7 +33,7 @@ def same_keys(before: DataFrame, after: DataFrame, keys: Sequence[str], name: st
 
 
 def frequency_complete(df: DataFrame, column: str, name: str = "frequency_complete") -> DataFrame:
-    """Known plus missing values are all rows."""
-    return df.agg(
-        (F.count(F.lit(1)) - F.count(column) - F.count_if(F.col(column).isNull())).alias("failures")
-    ).select(F.lit(name).alias("check"), "failures")
+    """The frequency table and the missing values together hold every row."""
+    listed = value_counts(df, column).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("listed"))
+    rows = df.agg((F.count(F.lit(1)) - F.count_if(missing(df, column))).alias("known"))
+    return rows.select(F.lit(name).alias("check"), F.abs(F.col("known") - listed.scalar()).alias("failures"))

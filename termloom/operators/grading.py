@@ -66,5 +66,5 @@ def term_sums(credits: str = "credits") -> dict[str, Column]:
 
 def term_rollup(graded: DataFrame, keys: Sequence[str] = ("id", "year", "trim")) -> DataFrame:
     """Enrolments to one row per entity and term. Sums only, so rows are reduced before the
-    shuffle; lists are a separate operator (``summaries.chunked_lists``)."""
+    shuffle; lists are a separate operator (``summaries.counted_lists``)."""
     return grouped_terms(graded, keys, term_sums())

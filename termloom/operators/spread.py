@@ -4,8 +4,8 @@ Three tools, used by the other operators wherever a plain shuffle on the key wou
 hot group into one task:
 
 * ``ranked`` - positions in a total order from a range-partitioned sort, no one-task window;
-* ``left_join_spread`` - a left join that salts the keys found to be hot;
-* ``lookup_join`` - broadcasts a derived lookup only after counting its rows, and takes the
+* ``left_join_spread`` - a left join that splits each hot key by its own number of rows;
+* ``lookup_join`` - broadcasts a derived lookup only after measuring its bytes, and takes the
   salted join beyond that bound.
 """
 
@@ -20,12 +20,13 @@ from pyspark.sql.window import Window
 
 from termloom.session import checkpointed
 
-# Keys beyond the first HOT_KEYS by row count each hold less than 1/HOT_KEYS of the rows,
-# so the list of hot keys has a fixed largest size whatever the data.
-HOT_KEYS = 1000
+# A key is hot if it holds more rows than one task should: HOT_ROWS, or total / HOT_KEYS in
+# tables so large that this is more. So there are at most HOT_KEYS hot keys, whatever the data,
+# and none of their salts holds more than that many rows.
+HOT_KEYS = 100_000
 HOT_ROWS = 1_000_000
-SALTS = 256
-BROADCAST_ROWS = 200_000
+LOOSE_SALTS = 1 << 20  # rows without a key match nothing and are only spread
+BROADCAST_BYTES = 32 << 20
 
 
 def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
@@ -64,11 +65,10 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], least_rows: int = HOT_ROWS) -> DataFrame:
-    """The (at most HOT_KEYS) keys with the most rows, if they have ``least_rows`` or more."""
-    return (
-        counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-        .filter(F.col("_n") >= least_rows).select(*keys)
-    )
+    """Every key with more rows than one task should hold, and over how many tasks to split it."""
+    share = F.ceil(counts.agg(F.coalesce(F.sum("_n"), F.lit(0)) / F.lit(HOT_KEYS)).scalar())
+    most = F.greatest(F.lit(least_rows).cast("long"), share)
+    return counts.filter(F.col("_n") >= most).select(*keys, (F.floor(F.col("_n") / most) + 1).cast("int").alias("_salts"))
 
 
 def left_join_spread(
@@ -77,11 +77,10 @@ def left_join_spread(
     keys: Sequence[str],
     spread: Sequence[str],
     *,
-    salts: int = SALTS,
     least_rows: int = HOT_ROWS,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join that splits hot keys of ``left`` over ``salts`` tasks.
+    """Left join that splits each hot key of ``left`` over as many tasks as its rows need.
 
     ``counts`` (from ``key_counts``) saves counting the keys of ``left`` again.
 
@@ -91,48 +90,53 @@ def left_join_spread(
     """
     keys = list(keys)
     counted = key_counts(left, keys) if counts is None else counts
-    hot = hot_keys(counted, keys, least_rows).withColumn("_hot", F.lit(True))
+    hot = hot_keys(counted, keys, least_rows)  # at most HOT_KEYS rows
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salted_left = (
         left.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_salt",
-            F.when(no_key | F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-            .otherwise(F.lit(0)),
+            F.pmod(
+                F.xxhash64(*spread), F.when(no_key, F.lit(LOOSE_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+            ).cast("int"),
         )
-        .drop("_hot")
+        .drop("_salts")
     )
     salted_right = (
         right.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                .otherwise(F.array(F.lit(0)))
-            ),
+            F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)),
         )
-        .drop("_hot")
+        .drop("_salts")
     )
     joined = salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")
     return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
 
 
+def table_bytes(df: DataFrame) -> int:
+    """About the bytes of a table in memory: its texts and 16 for every cell."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    row = reduce(lambda a, b: a + b, texts, F.lit(16 * len(df.columns)))
+    return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
     *,
-    most_rows: int = BROADCAST_ROWS,
+    most_bytes: int = BROADCAST_BYTES,
     stored: bool = False,
 ) -> DataFrame:
     """Left join to a lookup derived from data.
 
-    The lookup is computed once, written (unless it is ``stored`` already) and counted; it is
-    broadcast only within ``most_rows`` and joined with salting otherwise.
+    The lookup is computed once, written (unless it is ``stored`` already) and measured; it is
+    broadcast only within ``most_bytes`` and joined with salting otherwise.
     """
     kept = lookup if stored else checkpointed(lookup)
-    if kept.count() <= most_rows:
+    if table_bytes(kept) <= most_bytes:
         return left.join(F.broadcast(kept), list(keys), "left").select(
             *left.columns, *[c for c in lookup.columns if c not in keys]
         )

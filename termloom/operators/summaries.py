@@ -8,24 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.operators.spread import key_counts, left_join_spread
-
 # Bits of the two bucket levels of ``quantiles``: the second refines the first.
 COARSE_BITS = 6
 FINE_BITS = 18
 
 
+def known_double(column: Column) -> Column:
+    """As a double; NaN is missing, as everywhere in this module."""
+    return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
+
+
+def missing(df: DataFrame, column: str) -> Column:
+    """Null, or NaN in a column of floating numbers."""
+    at = F.col(column)
+    is_float = df.schema[column].dataType.typeName() in ("double", "float")
+    return at.isNull() | F.isnan(at) if is_float else at.isNull()
+
+
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     """Frequency of each known value, most frequent first."""
     return (
-        df.filter(F.col(column).isNotNull()).groupBy(column)
+        df.filter(~missing(df, column)).groupBy(column)
         .agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), column)
     )
 
 
 def value_shares(df: DataFrame, column: str, name: str = "pct") -> DataFrame:
     """Frequencies as percent of all known values. The total is a scalar subquery."""
-    known = df.filter(F.col(column).isNotNull())
+    known = df.filter(~missing(df, column))
     total = known.agg(F.count(F.lit(1))).scalar()
     counts = known.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn(name, F.col("n") / total * 100)
@@ -49,8 +59,8 @@ def contingency(df: DataFrame, rows: str, columns: str, values: Sequence, prefix
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row, one pass: the number of nulls in every column."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns or df.columns])
+    """One row, one pass: the number of missing values in every column."""
+    return df.agg(*[F.count_if(missing(df, c)).alias(c) for c in columns or df.columns])
 
 
 def uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,7 +79,7 @@ def group_mode(df: DataFrame, by: Sequence[str], column: str, name: str | None =
     Counted by (group, value) first, so no task holds all values of a group.
     """
     counts = (
-        df.filter(F.col(column).isNotNull()).groupBy(*by, column)
+        df.filter(~missing(df, column)).groupBy(*by, column)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     best = F.min(F.struct((-F.col("_n")).alias("_n"), F.col(column).alias("_v")))
@@ -93,7 +103,7 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequence[flo
     coarse ones, then 4096 finer ones inside each, then the values of those few.
     """
     by = list(by)
-    value = F.col(column).cast("double")
+    value = known_double(F.col(column))
     known = df.select(*by, value.alias("_v"))
     for c in [*by, "_v"]:
         known = known.filter(F.col(c).isNotNull())
@@ -151,7 +161,7 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequence[flo
 
 def describe_by(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Count, mean, deviation, least, quartiles and greatest value per group."""
-    value = F.col(column).cast("double")
+    value = known_double(F.col(column))
     known_group = df
     for c in by:
         known_group = known_group.filter(F.col(c).isNotNull())
@@ -168,7 +178,7 @@ def describe_by(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per cell: (column, value)."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+    return df.select(*[known_double(F.col(c)).alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
 
@@ -203,7 +213,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
     The range is a scalar subquery.
     """
-    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    values = df.select(known_double(F.col(column)).alias("_v")).filter(F.col("_v").isNotNull())
     edges = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
     placed = values.withColumn("_e", edges).select(
         "_v", F.col("_e.lo").alias("_lo"), ((F.col("_e.hi") - F.col("_e.lo")) / bins).alias("_w")
@@ -217,30 +227,33 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return counted.select("bin", (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("left_edge"), "n")
 
 
-def chunked_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    lists: dict[str, str],
-    spread: Sequence[str],
-    most: int = 10_000,
-) -> DataFrame:
-    """Group size and sorted lists per key, whole whatever the size of the group.
+def counted_lists(df: DataFrame, keys: Sequence[str], lists: dict[str, str]) -> DataFrame:
+    """Group size and sorted lists per key: one row per key whatever the size of the group.
 
-    A group of up to ``most`` rows is one row (chunk 0 of 1). A larger one is dealt out by
-    the hash of ``spread`` into several rows, because one array cannot hold an unbounded
-    group; the rows together hold every element. Rows without a key belong to no group.
+    A list holds each distinct item once, as ``{item, n}`` with how often it occurs (texts;
+    null items are left out), so it is bounded by the catalogue it is drawn from and not by
+    the rows of the group. All lists share one count with map-side combine. Rows without a
+    key belong to no group.
     """
     keys = list(keys)
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    counts = key_counts(df, keys)
-    large = counts.filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("chunks"))
-    # salted, and shuffled again by chunk below: a plain join on the keys would leave all
-    # chunks of a hot group in the task of its key
-    placed = left_join_spread(df, large, keys, spread, counts=counts)
-    placed = placed.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64(*spread), F.col("chunks")).cast("int"))
-    return placed.groupBy(*keys, "chunks", "chunk").agg(
-        F.count(F.lit(1)).alias("size"),
-        *[F.sort_array(F.collect_list(c)).alias(name) for name, c in lists.items()],
+    cells = [F.struct(F.lit(name).alias("list"), F.col(c).cast("string").alias("item")) for name, c in lists.items()]
+    whole = F.struct(F.lit("").alias("list"), F.lit("").alias("item"))
+    counts = (
+        df.select(*keys, F.explode(F.array(whole, *cells)).alias("_c")).select(*keys, "_c.*")
+        .filter(F.col("item").isNotNull()).groupBy(*keys, "list", "item").agg(F.count(F.lit(1)).alias("n"))
+    )
+    entry = F.struct("item", "n")
+    return counts.groupBy(*keys).agg(
+        F.max(F.when(F.col("list") == "", F.col("n"))).alias("size"),
+        *[F.sort_array(F.collect_list(F.when(F.col("list") == name, entry))).alias(name) for name in lists],
     )
+
+
+def list_text(column: str) -> Column:
+    """A counted list as text: ``item`` or ``item*n``, between blanks."""
+    def shown(e: Column) -> Column:
+        return F.when(e["n"] > 1, F.concat(e["item"], F.lit("*"), e["n"].cast("string"))).otherwise(e["item"])
+
+    return F.array_join(F.transform(column, shown), " ")

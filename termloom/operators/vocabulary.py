@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
 
+SALTS = 16
+
 
 def joined_lists(df: DataFrame, lists: Sequence[str], name: str) -> DataFrame:
     """Several list columns of a row as one list; a missing list adds nothing."""
@@ -36,10 +38,17 @@ def vocabulary(exploded: DataFrame) -> DataFrame:
     return exploded.select("token").filter(F.col("token") != "").distinct()
 
 
-def token_counts(exploded: DataFrame, key: str, learned: DataFrame | None = None) -> DataFrame:
-    """How often each token occurs per key, restricted to a learned vocabulary if given.
+def token_counts(exploded: DataFrame, key: str) -> DataFrame:
+    """How often each token occurs per key."""
+    return exploded.filter(F.col("token") != "").groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def learned_only(counts: DataFrame, learned: DataFrame) -> DataFrame:
+    """Counts of the tokens of a learned vocabulary.
 
-    Counted before the restriction, so the join sees one row per key and token.
+    Joined after counting, with one row per key and token. A common word has a row for each
+    key, so its rows are dealt over ``SALTS`` tasks and the vocabulary is repeated for each.
     """
-    counts = exploded.filter(F.col("token") != "").groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    return counts if learned is None else counts.join(learned.select("token"), "token", "left_semi")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*counts.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(learned.select("token", salt), ["token", "_salt"], "left_semi").select(*counts.columns)

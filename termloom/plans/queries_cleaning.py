@@ -330,3 +330,21 @@ def sponsor_check(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), "o_orderdate")
     checked = o.withColumns(sponsor_checks(F.col("o_orderdate"), (F.lit(1995) + F.col("id") % 7).cast("int")))
     return flag_repeated(checked.drop("o_orderdate"), ["id"], ["o_orderkey"], "dup_id")
+
+
+@query(
+    "j_unicode_blanks",
+    """SELECT doc_id, len(string_split(t, ' ')) AS n_tokens, length(t) AS n_left, CAST(0 AS BIGINT) AS n_blank
+       FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''""",
+)
+def unicode_blanks(spark, sf_dir):
+    """Texts with no-break and ideographic spaces in the place of blanks: they separate tokens, are
+    stripped at the ends, and make no known text."""
+    spaces = F.lit("\u00a0\u3000\u2009")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(spaces, F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", "\u00a0"), spaces).alias("t"), spaces.alias("b")
+    ).withColumn("s", text.strip(F.col("t")))
+    return docs.filter(text.blank_to_null(F.col("t")).isNotNull()).select(
+        "doc_id", F.size(text.tokens(F.col("t"))).cast("long").alias("n_tokens"), F.length("s").cast("long").alias("n_left"),
+        F.when(text.blank_to_null(F.col("b")).isNull(), 0).otherwise(1).cast("long").alias("n_blank"),
+    )

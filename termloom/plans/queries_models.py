@@ -145,8 +145,8 @@ def model_round_trip(spark, sf_dir):
     """Fitted models are stored, loaded and give the same fills."""
     rows = gappy_scores(spark, sf_dir)
     path = scratch_path(spark, "scores")
-    fit_linear_chain(rows, SCORES, ["x"]).save(path)
-    return Chain.load(path, SCORES).apply(rows).select("o_orderkey", *SCORES)
+    fit_linear_chain(rows, SCORES, ["x"]).save(path, spark)
+    return Chain.load(path, spark).apply(rows).select("o_orderkey", *SCORES)
 
 
 CONDITIONS = [f"trim{n:02d}_cond_code" for n in range(1, 5)]
@@ -199,13 +199,31 @@ def impute_kept(spark, sf_dir):
 
 @query("l_impute_where_null")
 def impute_where_null(spark, sf_dir):
-    """Only the targets with nulls are modelled; the stored chain is loaded and applied."""
-    wide = first_year_wide(spark, sf_dir).withColumn(CONDITIONS[1], F.coalesce(CONDITIONS[1], F.lit(3)))
-    chain = fit_class_chain(wide, CONDITIONS, STEPS, only_where_null=True)
+    """Stored models fill the targets that have nulls in the scored population. The second
+    condition is complete there; the training rows know it and have gaps."""
+    wide = first_year_wide(spark, sf_dir)
     path = scratch_path(spark, "conditions")
-    chain.save(path)
-    learned = [t for t, m in zip(chain.targets, chain.models) if m is not None]
-    return Chain.load(path, learned).apply(wide).select("id", *CONDITIONS)
+    fit_class_chain(wide, CONDITIONS, STEPS).save(path, spark)
+    scored = wide.withColumn(CONDITIONS[1], F.coalesce(CONDITIONS[1], F.lit(3)))
+    return Chain.load(path, spark).apply(scored, only_where_null=True).select("id", *CONDITIONS)
+
+
+@query(
+    "l_impute_where_null_kept",
+    sql.with_(
+        sql.PANEL,
+        """, wide AS (SELECT id, trim_order, CASE acad_condition WHEN 'NORMAL' THEN 3 WHEN 'SEPARADO' THEN 8
+             WHEN 'SUSPENDIDO' THEN 12 END AS code FROM quant WHERE trim_order <= 4 AND trim_quant >= 4)
+           SELECT 'trim0' || trim_order AS term, count(*) AS n, CAST(0 AS BIGINT) AS n_missing,
+             CASE WHEN trim_order = 2 THEN CAST(sum(coalesce(code, 3)) AS BIGINT) END AS complete_sum FROM wide GROUP BY trim_order""",
+    ),
+)
+def impute_where_null_kept(spark, sf_dir):
+    """No null stays, and the target that was complete is unchanged (the sum of its codes)."""
+    filled = impute_where_null(spark, sf_dir).unpivot(["id"], CONDITIONS, "term", "code")
+    return filled.groupBy(F.substring("term", 1, 6).alias("term")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("code").isNull()).alias("n_missing"), F.sum("code").alias("_sum")
+    ).select("term", "n", "n_missing", F.when(F.col("term") == "trim02", F.col("_sum")).alias("complete_sum"))
 
 
 @query(

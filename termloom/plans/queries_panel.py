@@ -11,12 +11,12 @@ from termloom.operators.outcomes import two_way, with_targets
 from termloom.operators.panel import first_term_check, pivot_terms, year_window
 from termloom.operators.rows import union_tables
 from termloom.operators.spread import exploded_copies
-from termloom.operators.summaries import chunked_lists
-from termloom.operators.vocabulary import joined_lists, list_tokens, text_tokens, token_counts, vocabulary
+from termloom.operators.vocabulary import joined_lists, learned_only, list_tokens, text_tokens, token_counts, vocabulary
 from termloom.plans import sql
 from termloom.plans.mart import build_mart
 from termloom.plans.registry import query
 from termloom.plans.standin_mart import labelled
+from termloom.session import checkpointed
 from termloom.sources import standins
 from termloom.sources.standin_sheets import sheets
 from termloom.sources.standins import table
@@ -112,26 +112,27 @@ def windows(spark, sf_dir):
     return years[0].unionByName(years[1]).unionByName(years[2])
 
 
-COURSES = sql.PANEL + ", " + sql.ENROLMENT.replace(sql.ORD + ", ", "") + """, year1 AS (
-  SELECT e.id, q.trim_order, e.clave FROM enrolment e
+COURSES = sql.PANEL + ", " + sql.ENROLMENT.replace(sql.ORD + ", ", "") + """, placed AS (
+  SELECT e.id, CAST(ceil(q.trim_order / 4.0) AS INTEGER) AS year_no, q.trim_order, e.clave FROM enrolment e
   JOIN quant q ON e.id = q.id AND e.year = q.year AND e.trim = q.trim
-  WHERE q.trim_order BETWEEN 1 AND 4 AND q.trim_quant >= 4)"""
+  WHERE q.trim_order <= 12 AND q.trim_quant >= 4 * ceil(q.trim_order / 4.0))"""
 
 
-def first_year_courses(spark, sf_dir):
-    """Enrolments of the first four terms: the events are reduced to one row per entity,
+def courses_by_year(spark, sf_dir):
+    """Enrolments of the study years 1 to 3: the events are reduced to one row per entity,
     term and course before they meet the panel."""
     counted = standins.enrolment(spark, sf_dir).groupBy("id", "year", "trim", "clave").agg(F.count(F.lit(1)).alias("k"))
-    window = year_window(standins.panel_with_quant(spark, sf_dir), 1).select("id", "year", "trim", "trim_order")
-    return counted.join(window, ["id", "year", "trim"])
+    p = standins.panel_with_quant(spark, sf_dir)
+    years = [year_window(p, n).select("id", "year", "trim", "trim_order", F.lit(n).alias("year_no")) for n in (1, 2, 3)]
+    return counted.join(years[0].unionByName(years[1]).unionByName(years[2]), ["id", "year", "trim"])
 
 
 @query(
     "i_course_counts",
-    sql.with_(COURSES, "SELECT id, CAST(clave AS VARCHAR) AS token, count(*) AS n FROM year1 GROUP BY 1, 2"),
+    sql.with_(COURSES, "SELECT id, year_no, CAST(clave AS VARCHAR) AS token, count(*) AS n FROM placed GROUP BY 1, 2, 3"),
 )
 def course_counts(spark, sf_dir):
-    return first_year_courses(spark, sf_dir).groupBy("id", F.col("clave").cast("string").alias("token")).agg(
+    return courses_by_year(spark, sf_dir).groupBy("id", "year_no", F.col("clave").cast("string").alias("token")).agg(
         F.sum("k").alias("n")
     )
 
@@ -140,20 +141,13 @@ def course_counts(spark, sf_dir):
     "i_year_lists",
     sql.with_(
         COURSES,
-        """SELECT id, string_agg(CAST(clave AS VARCHAR), ' ' ORDER BY trim_order, clave) AS year01_course_list,
-                  count(*) AS n FROM year1 GROUP BY 1""",
+        "SELECT id, year_no, trim_order, clave, count(*) AS n FROM placed GROUP BY 1, 2, 3, 4",
     ),
 )
 def year_lists(spark, sf_dir):
-    window = year_window(standins.panel_with_quant(spark, sf_dir), 1).select("id", "year", "trim", "trim_order")
-    placed = standins.enrolment(spark, sf_dir).join(window, ["id", "year", "trim"]).withColumn(
-        "item", F.struct("trim_order", "clave")
-    )
-    lists = chunked_lists(placed, ["id"], {"items": "item"}, ["o_orderkey", "line", "clave"])
-    return lists.select(
-        "id", F.array_join(F.transform("items", lambda i: i["clave"].cast("string")), " ").alias("year01_course_list"),
-        F.col("size").alias("n"),
-    )
+    """The course lists of the study years in long form: one row per entity, term and course
+    at every size; the list of a year is its rows in the order of (trim_order, clave)."""
+    return courses_by_year(spark, sf_dir).select("id", "year_no", "trim_order", "clave", F.col("k").alias("n"))
 
 
 @query(
@@ -176,11 +170,12 @@ def wide_lists(spark, sf_dir):
 
 @query(
     "i_explode_lists",
-    sql.with_(COURSES, "SELECT id, CAST(clave AS VARCHAR) AS token FROM year1"),
+    sql.with_(COURSES, "SELECT id, year_no, CAST(clave AS VARCHAR) AS token FROM placed"),
 )
 def exploded(spark, sf_dir):
-    single = first_year_courses(spark, sf_dir).withColumn("items", F.array(F.col("clave").cast("string")))
-    return list_tokens(exploded_copies(single, "k", "_copy"), "id", "items")
+    single = courses_by_year(spark, sf_dir).withColumn("items", F.array(F.col("clave").cast("string")))
+    copies = exploded_copies(single, "k", "_copy").withColumn("entry", F.struct("id", "year_no"))
+    return list_tokens(copies, "entry", "items").select("entry.*", "token")
 
 
 TOKENS = r"""tok AS (SELECT doc_id, token FROM (
@@ -197,7 +192,8 @@ TOKENS = r"""tok AS (SELECT doc_id, token FROM (
 )
 def document_tokens(spark, sf_dir):
     rows = text_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return token_counts(rows, "doc_id", vocabulary(rows.filter("doc_id % 4 <> 0")))
+    counts = checkpointed(token_counts(rows, "doc_id"))  # the texts are split once
+    return learned_only(counts, vocabulary(counts.filter("doc_id % 4 <> 0")))
 
 
 @query(

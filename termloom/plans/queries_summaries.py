@@ -92,23 +92,29 @@ def rollup_terms(spark, sf_dir):
     "e_term_lists",
     sql.with_(
         sql.GRADED,
-        """SELECT id, year, trim, 1 AS chunks, 0 AS chunk, count(*) AS size,
-             string_agg(CAST(clave AS VARCHAR), ' ' ORDER BY clave) AS course_list,
-             string_agg(CAST(teachid AS VARCHAR), ' ' ORDER BY teachid) AS teachid_list,
-             coalesce(string_agg(grade, ' ' ORDER BY grade), '') AS grades_list
-           FROM graded GROUP BY id, year, trim""",
+        """, cells AS (
+             SELECT id, year, trim, 1 AS l, CAST(clave AS VARCHAR) AS item FROM graded
+             UNION ALL SELECT id, year, trim, 2, CAST(teachid AS VARCHAR) FROM graded
+             UNION ALL SELECT id, year, trim, 3, grade FROM graded
+             UNION ALL SELECT id, year, trim, 4, grade_status FROM graded),
+           counts AS (SELECT id, year, trim, l, item, item || CASE WHEN count(*) > 1 THEN '*' || count(*) ELSE '' END AS s
+             FROM cells WHERE item IS NOT NULL GROUP BY id, year, trim, l, item)
+           SELECT c.id, c.year, c.trim, size,
+             coalesce(string_agg(s, ' ' ORDER BY item) FILTER (WHERE l = 1), '') AS course_list,
+             coalesce(string_agg(s, ' ' ORDER BY item) FILTER (WHERE l = 2), '') AS teachid_list,
+             coalesce(string_agg(s, ' ' ORDER BY item) FILTER (WHERE l = 3), '') AS grades_list,
+             coalesce(string_agg(s, ' ' ORDER BY item) FILTER (WHERE l = 4), '') AS grades_status_list
+           FROM counts c JOIN (SELECT id, year, trim, count(*) AS size FROM graded GROUP BY 1, 2, 3) g
+             ON c.id = g.id AND c.year = g.year AND c.trim = g.trim GROUP BY c.id, c.year, c.trim, size""",
     ),
 )
 def term_lists(spark, sf_dir):
     graded = with_grade_status(standins.enrolment(spark, sf_dir))
-    lists = summaries.chunked_lists(
-        graded, ["id", "year", "trim"],
-        {"course_list": "clave", "teachid_list": "teachid", "grades_list": "grade"},
-        ["o_orderkey", "line", "clave"],
-    )
-    return lists.withColumns(
-        {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("course_list", "teachid_list", "grades_list")}
-    )
+    columns = {
+        "course_list": "clave", "teachid_list": "teachid", "grades_list": "grade", "grades_status_list": "grade_status",
+    }
+    lists = summaries.counted_lists(graded, ["id", "year", "trim"], columns)
+    return lists.withColumns({c: summaries.list_text(c) for c in columns})
 
 
 @query(
@@ -445,3 +451,40 @@ def top_rows(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("feature"), F.col("p_retailprice").alias("importance")).orderBy(
         F.desc("importance"), "feature"
     ).limit(20)
+
+
+GAPPY = """gappy AS (SELECT event_type, CASE WHEN event_id % 4 <> 0 THEN "value" END AS v FROM events)"""
+
+
+def with_nan(spark, sf_dir):
+    """Events whose every fourth value is NaN."""
+    nan = F.lit(float("nan"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.when(F.col("event_id") % 4 == 0, nan).otherwise(F.col("value")).alias("v")
+    )
+
+
+@query(
+    "e_describe_nan",
+    f"""WITH {GAPPY} SELECT event_type, count(v) AS "count", round(avg(v), 8) AS mean, round(stddev_samp(v), 8) AS std,
+          min(v) AS min, max(v) AS max, round(quantile_cont(v, 0.25), 8) AS p_25, round(quantile_cont(v, 0.5), 8) AS p_50,
+          round(quantile_cont(v, 0.75), 8) AS p_75 FROM gappy GROUP BY event_type""",
+)
+def describe_nan(spark, sf_dir):
+    out = summaries.describe_by(with_nan(spark, sf_dir), ["event_type"], "v")
+    return out.withColumns({c: F.round(c, 8) for c in ("mean", "std", "p_25", "p_50", "p_75")})
+
+
+@query("e_null_counts_nan", f"WITH {GAPPY} SELECT count(*) - count(event_type) AS event_type, count(*) - count(v) AS v FROM gappy")
+def null_counts_nan(spark, sf_dir):
+    return summaries.null_counts(with_nan(spark, sf_dir), ["event_type", "v"])
+
+
+@query(
+    "e_histogram_nan",
+    f"""WITH {GAPPY}, r AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20 AS w FROM gappy)
+        SELECT CAST(least(floor((v - lo) / w) + 1, 20) AS INTEGER) AS bin, count(*) AS n
+        FROM gappy, r WHERE v IS NOT NULL GROUP BY 1""",
+)
+def histogram_nan(spark, sf_dir):
+    return summaries.histogram(with_nan(spark, sf_dir), "v", 20).select("bin", "n")

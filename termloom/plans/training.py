@@ -46,14 +46,12 @@ class YearModels:
     components: CountComponents
 
     def save(self, path: str) -> None:
-        self.chain.save(f"{path}/conditions")
+        self.chain.save(f"{path}/conditions", self.components.loadings.sparkSession)
         self.components.save(f"{path}/components")
 
     @classmethod
-    def load(cls, path: str, spark: SparkSession, targets: Sequence[str]) -> "YearModels":
-        return cls(
-            Chain.load(f"{path}/conditions", targets), CountComponents.load(f"{path}/components", spark)
-        )
+    def load(cls, path: str, spark: SparkSession) -> "YearModels":
+        return cls(Chain.load(f"{path}/conditions", spark), CountComponents.load(f"{path}/components", spark))
 
 
 def year_table(

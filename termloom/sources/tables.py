@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.operators.spread import ranked
@@ -54,7 +55,18 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     """One dataset. CSV needs a schema: types are stated, not guessed from a pass over the data.
 
     Quoted CSV values may hold line breaks and doubled quotes; a malformed row is an error.
+    NaN in a column of floating numbers is read as missing.
     """
+    return nan_as_null(_read(spark, path, fmt, schema))
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN to null in all columns of floating numbers."""
+    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.nanvl(f"`{c}`", F.lit(None).cast(df.schema[c].dataType)) for c in floats})
+
+
+def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         if schema is None:

@@ -73,8 +73,8 @@ def test_linear_chain(spark, tmp_path):
     ]
     df = spark.createDataFrame(rows, "id long, x1 double, x2 double, a double, b double")
     chain = fit_linear_chain(df, ["a", "b"], ["x1", "x2"])
-    chain.save(str(tmp_path / "lin"))
-    got = collect(Chain.load(str(tmp_path / "lin"), ["a", "b"]).apply(df).select("id", "a", "b"), "id")
+    chain.save(str(tmp_path / "lin"), spark)
+    got = collect(Chain.load(str(tmp_path / "lin"), spark).apply(df).select("id", "a", "b"), "id")
 
     def fill(target, features):
         known = ~np.isnan(target)
@@ -89,13 +89,16 @@ def test_linear_chain(spark, tmp_path):
     assert [g[1:] for g in got] == [(int(p), int(q)) for p, q in zip(full_a, full_b)]
 
 
-def test_class_chain(spark):
+def test_class_chain(spark, tmp_path):
     rows = [(i, float(i % 2), None if i % 7 == 0 else (3 if i % 2 else 12), 3) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, x double, c1 int, c2 int")
-    chain = fit_class_chain(df, ["c1", "c2"], [["x"], ["x"]], only_where_null=True)
-    assert chain.models[1] is None
-    got = chain.apply(df).collect()
-    assert all(r["c1"] == (3 if r["id"] % 2 else 12) and r["c2"] == 3 for r in got)
+    fit_class_chain(df.withColumn("c3", F.lit(None).cast("int")), ["c1", "c3", "c2"], [["x"]] * 3).save(str(tmp_path / "c"), spark)
+    chain = Chain.load(str(tmp_path / "c"), spark)
+    assert chain.targets == ["c1", "c3", "c2"] and chain.models[1] is None
+    # complete in training, with gaps in the scored rows
+    gappy = df.withColumns({"c2": F.when(F.col("id") > 9, F.col("c2")), "c3": F.lit(None).cast("int")})
+    got = chain.apply(gappy, only_where_null=True).collect()
+    assert all(r["c1"] == (3 if r["id"] % 2 else 12) and r["c2"] == 3 and r["c3"] is None for r in got)
     single = fit_class_chain(df.withColumn("c2", F.when(F.col("id") > 5, F.col("c2"))), ["c2"], [["x"]])
     assert {r["c2"] for r in single.apply(df.withColumn("c2", F.lit(None).cast("int"))).collect()} == {3}
 

@@ -74,6 +74,6 @@ def test_quantiles_read_the_data_once(spark, sf_dir):
     assert "ReusedExchange" in plan
 
 
-def test_chunks_of_a_hot_group_are_shuffled_apart(spark, sf_dir, large_tables):
+def test_lists_are_counted_before_they_are_collected(spark, sf_dir, large_tables):
     plan = plan_of(spark, sf_dir, "e_term_lists")
-    assert re.search(r"Exchange hashpartitioning\(id#\d+L?, year#\d+, trim#\d+, chunks#\d+, chunk#\d+", plan)
+    assert re.search(r"Exchange hashpartitioning\(id#\d+L?, year#\d+, trim#\d+, list#\d+, item#\d+", plan)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from termloom.operators.spread import exploded_copies, hot_keys, key_counts, left_join_spread, lookup_join, ranked
-from termloom.operators.summaries import chunked_lists
+from termloom.operators.summaries import counted_lists, list_text
 from tests.conftest import collect
 
 
@@ -30,21 +30,22 @@ def test_ranked_of_nothing(spark):
 
 
 def test_hot_keys(spark):
-    assert collect(hot_keys(key_counts(skewed(spark), ["k"]), ["k"], 500), "k") == [(7,)]
+    rows = skewed(spark).filter("k = 7").count()
+    assert collect(hot_keys(key_counts(skewed(spark), ["k"]), ["k"], 100), "k", "_salts") == [(7, rows // 100 + 1)]
 
 
 def test_left_join_spread_equals_left_join(spark):
     left = skewed(spark)
     right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60)], "k int, v string")
     plain = left.join(right, "k", "left").select("row", "k", "v")
-    spread = left_join_spread(left, right, ["k"], ["row"], salts=8, least_rows=100)
+    spread = left_join_spread(left, right, ["k"], ["row"], least_rows=100)
     assert collect(plain, "row") == collect(spread, "row")
 
 
 def test_hot_key_is_split(spark):
     left = skewed(spark)
     right = spark.createDataFrame([(7, "hot")], "k int, v string")
-    spread = left_join_spread(left, right, ["k"], ["row"], salts=8, least_rows=100)
+    spread = left_join_spread(left, right, ["k"], ["row"], least_rows=100)
     plan = spread._jdf.queryExecution().toString()
     assert "_salt" in plan
 
@@ -53,7 +54,7 @@ def test_lookup_join_beyond_the_bound(spark):
     left = skewed(spark)
     right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60)], "k int, v string")
     within = collect(lookup_join(left, right, ["k"], ["row"]), "row")
-    beyond = collect(lookup_join(left, right, ["k"], ["row"], most_rows=1), "row")
+    beyond = collect(lookup_join(left, right, ["k"], ["row"], most_bytes=1), "row")
     assert within == beyond
 
 
@@ -63,15 +64,13 @@ def test_exploded_copies(spark):
     assert got == [(2, 0)] + [(3, j) for j in range(25)]
 
 
-def test_chunked_lists_are_whole(spark):
-    rows = [(1, f"c{i % 50}", i) for i in range(1000)] + [(2, "b", 5000), (2, "a", 5001), (3, None, 5002)]
-    df = spark.createDataFrame(rows, "id long, course string, row long")
-    lists = chunked_lists(df, ["id"], {"courses": "course"}, ["row"], most=100)
-    hot = lists.filter("id = 1").collect()
-    assert len(hot) > 1 and {r["chunks"] for r in hot} == {10}
-    assert sorted(c for r in hot for c in r["courses"]) == sorted(c for i, c, _ in rows if i == 1)
-    small = collect(lists.filter("id > 1").select("id", "chunk", "size", "courses"), "id")
-    assert small == [(2, 0, 2, ["a", "b"]), (3, 0, 1, [])]
+def test_counted_lists_have_one_grain(spark):
+    rows = [(1, f"c{i % 50:02d}") for i in range(100_000)] + [(2, "b"), (2, "a"), (2, "b"), (3, None), (None, "z")]
+    df = spark.createDataFrame(rows, "id long, course string")
+    lists = counted_lists(df, ["id"], {"courses": "course"}).withColumn("text", list_text("courses"))
+    got = collect(lists, "id", "size", "text")
+    assert got[0] == (1, 100_000, " ".join(f"c{i:02d}*2000" for i in range(50)))
+    assert got[1:] == [(2, 3, "a b*2"), (3, 1, "")]
 
 
 def test_first_per_key_and_flags_on_hot_keys(spark):
