@@ -5,7 +5,11 @@ Queries that fit iterative models have no SQL; their properties are tested in ``
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import clean
@@ -230,7 +234,7 @@ def impute_where_null_kept(spark, sf_dir):
     "l_course_counts",
     sql.with_(
         sql.PANEL + ", " + sql.ENROLMENT.replace(sql.ORD + ", ", ""),
-        """SELECT id, count(*) AS n_courses, count(DISTINCT teachid % 200) AS n_distinct FROM enrolment
+        """SELECT id, count(*) AS n_courses, count(DISTINCT clave) AS n_distinct FROM enrolment
            JOIN quant USING (id, year, trim) WHERE trim_order <= 4 AND trim_quant >= 4 GROUP BY id""",
     ),
 )
@@ -491,7 +495,7 @@ def targets_compare(spark, sf_dir):
 @query("l_feature_sets")
 def feature_sets(spark, sf_dir):
     """Year 2 with the risk of year 1 against all entry features."""
-    rows, stages, train, _, _ = data.cascade_data(spark, sf_dir)
+    rows, stages, train, _, _ = data.cascade_data(spark, sf_dir, year_nos=(1,))
     entry, year2 = train[0], train[1]
     first = models.fit_classifier(balance.train_test(entry)[0], data.ENTRY_FEATURES, "y_m1", "tree", **TREE)
     prob = models.score(first, entry, "pred1", "prob1").select("id", "prob1", *data.ENTRY_FEATURES)
@@ -519,15 +523,20 @@ def retrain(spark, sf_dir):
 
 @query("l_cascade")
 def cascade(spark, sf_dir):
-    _, stages, train, _, _ = data.cascade_data(spark, sf_dir, balanced=True)
-    _, metrics = fit_cascade(stages, train)
-    return metrics[0].unionByName(metrics[1]).unionByName(metrics[2])
+    """Four yearly models, each on the rows as they are and on balanced ones."""
+    _, stages, train, _, _ = data.cascade_data(spark, sf_dir)
+    parts = []
+    for balanced in (False, True):
+        _, metrics = fit_cascade([replace(s, balanced=balanced) for s in stages], train)
+        parts += [m.withColumn("balanced", F.lit(balanced)) for m in metrics]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("l_score_active")
 def score_active(spark, sf_dir):
     """Stored models applied to the entities without a final label, delivered with attributes."""
-    _, stages, train, active, still_open = data.cascade_data(spark, sf_dir)
+    # the last year is trained but, as its label is not open any more, not scored
+    _, stages, train, active, still_open = data.cascade_data(spark, sf_dir, year_nos=(1, 2))
     fitted, _ = fit_cascade(stages, train)
     path = scratch_path(spark, "cascade")
     save_cascade(fitted, stages, path)

@@ -21,8 +21,7 @@ CATEGORIES = ["admin_type", "area_in_name"]
 ENTRY_FEATURES = [*NUMERIC, *[f"{c}_code" for c in CATEGORIES]]
 TARGETS = ["y_two", "y_m1", "y_m2", "y_m3", "y_m4"]
 ATTRIBUTES = ["amount", "n_orders", "gap", "course_quant", "credits_total"]
-COMPONENTS = 8
-CATALOGUE = 200  # course codes
+COMPONENTS = 125
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +59,16 @@ def year_courses(spark: SparkSession, sf_dir: str, panel: DataFrame, year_no: in
     to counts before they meet the panel."""
     counted = (
         standins.enrolment(spark, sf_dir)
-        .groupBy("id", "year", "trim", (F.col("teachid") % CATALOGUE).alias("course")).agg(F.count(F.lit(1)).alias("k"))
+        .groupBy("id", "year", "trim", "clave").agg(F.count(F.lit(1)).alias("k"))
     )
     window = year_window(panel, year_no).select("id", "year", "trim")
     return (
         counted.join(window, ["id", "year", "trim"])
-        .groupBy("id", F.concat(F.lit("c"), F.col("course")).alias("token")).agg(F.sum("k").alias("n"))
+        .groupBy("id", F.col("clave").cast("string").alias("token")).agg(F.sum("k").alias("n"))
     )
 
 
-def years(spark: SparkSession, sf_dir: str, year_nos=(1, 2), max_iter: int = 100):
+def years(spark: SparkSession, sf_dir: str, year_nos=(1, 2, 3), max_iter: int = 100):
     """Year tables of all entities and the models learned on the closed ones."""
     rows = people(spark, sf_dir)
     panel = model_panel(spark, sf_dir)
@@ -85,18 +84,18 @@ def years(spark: SparkSession, sf_dir: str, year_nos=(1, 2), max_iter: int = 100
     return rows, out
 
 
-def cascade_data(spark: SparkSession, sf_dir: str, balanced: bool = False, max_iter: int = 100):
+def cascade_data(spark: SparkSession, sf_dir: str, balanced: bool = False, max_iter: int = 100, year_nos=(1, 2, 3)):
     """Stages and their tables for all entities, training rows and open rows."""
-    rows, year_tables = years(spark, sf_dir, (1, 2), max_iter)
+    rows, year_tables = years(spark, sf_dir, year_nos, max_iter)
     final, still_open = closed_and_open(rows)
     entry, _ = entry_table(rows, NUMERIC, CATEGORIES, TARGETS)
     entry = checkpointed(entry)
     params = {"minInstancesPerNode": 5, "maxDepth": 6}
-    stages = [Stage("year1", ENTRY_FEATURES, "y_m1", params=params)]
+    stages = [Stage("year1", ENTRY_FEATURES, "y_m1", balanced=balanced, params=params)]
     tables = [entry]
-    for n, (table, fitted) in zip((2, 3), year_tables):
+    for n, (table, fitted) in zip([y + 1 for y in year_nos], year_tables):
         names = year_feature_names(n - 1, ATTRIBUTES, "cond_code", fitted)
-        stages.append(Stage(f"year{n}", names, f"y_m{n}", balanced=balanced and n == 2, params=params))
+        stages.append(Stage(f"year{n}", names, f"y_m{n}", balanced=balanced, params=params))
         tables.append(table.join(rows.select("id", *TARGETS), "id", "left"))
     train = [t.join(final.select("id"), "id", "left_semi") for t in tables]
     active = [t.join(still_open.select("id"), "id", "left_semi") for t in tables]

@@ -55,6 +55,19 @@ def test_count_components_match_svd(spark, tmp_path):
     assert np.allclose(fitted.explained, (s**2 / (s**2).sum())[:4])
 
 
+def test_more_tokens_than_the_basis_has_columns(spark):
+    rng = np.random.default_rng(4)
+    rates = np.outer(rng.random(80) * 8, rng.random(60)) + np.outer(rng.random(80) * 4, rng.random(60))
+    matrix = rng.poisson(rates)
+    cells = [(i, f"t{j}", int(n)) for (i, j), n in np.ndenumerate(matrix) if n]
+    keys = spark.range(80)
+    fitted = fit_count_components(keys, spark.createDataFrame(cells, "id long, token string, n long"), 3, tol=1e-9, rounds=12)
+    s = np.linalg.svd(matrix - matrix.mean(axis=0), compute_uv=False)
+    assert np.allclose(fitted.explained, (s**2 / (s**2).sum())[:3], rtol=1e-3)
+    nothing = fit_count_components(keys, spark.createDataFrame([], "id long, token string, n long"), 3)
+    assert nothing.names() == []
+
+
 def test_encoder_gives_unseen_and_null_the_next_code(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "id long, v string")
     table = fit_labels(df, "v")
