@@ -331,6 +331,19 @@ def smote(spark, sf_dir):
     return balance.oversample(one_against_rest(spark, sf_dir), "is_zero", AXES)
 
 
+@query(
+    "l_smote_blocks",
+    sql.with_(
+        SMOTE,
+        "SELECT id, 0 AS synthetic, " + ", ".join(f"v[{i + 1}] AS {a}" for i, a in enumerate(AXES)) + " FROM e UNION ALL SELECT id, 1, "
+        + ", ".join(f"v[{i}] + u * (w[{i}] - v[{i}])" for i in range(1, 65)) + " FROM made",
+    ),
+)
+def smote_blocks(spark, sf_dir):
+    """The same rows if neighbours have to be looked for in several blocks."""
+    return balance.oversample(one_against_rest(spark, sf_dir), "is_zero", AXES, block=10).select("id", "synthetic", *AXES)
+
+
 AFTER = """SELECT label, n AS n_before, max(n) OVER () AS n_after FROM
   (SELECT CAST(label = 0 AS INTEGER) AS label, count(*) AS n FROM embeddings GROUP BY 1)"""
 
@@ -385,6 +398,38 @@ def forest(spark, sf_dir):
     return models.score(model, test, "pred", "prob").select("id", "y_two", "pred", "prob")
 
 
+TEST_ROWS = sql.with_(
+    sql.LABELLED,
+    f""", test AS (SELECT id, CASE y WHEN 'graduate' THEN 0 WHEN 'voluntary desertion' THEN 1
+           WHEN 'involuntary desertion' THEN 1 END AS y_two FROM labelled
+         WHERE y NOT IN ('active', 'suspended') AND {HASH.format("'42|' || id")} % 10000 < 2500)
+       SELECT CAST(y_two AS INTEGER) AS y_two, count(*) AS n, CAST(0 AS BIGINT) AS n_no_class, CAST(0 AS BIGINT) AS n_no_risk
+       FROM test GROUP BY y_two""",
+)
+
+
+def judged_rows(scored: DataFrame) -> DataFrame:
+    """Scored rows per class, those without a known class and those whose risk is no probability."""
+    return scored.groupBy(F.col("y_two").cast("int").alias("y_two")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.coalesce(F.col("pred").isin(0, 1), F.lit(False))).alias("n_no_class"),
+        F.count_if(~F.coalesce(F.col("prob").between(0, 1), F.lit(False))).alias("n_no_risk"),
+    )
+
+
+@query("l_forest_rows", TEST_ROWS)
+def forest_rows(spark, sf_dir):
+    """What a forest may not do: lose or repeat a test row, or give no class or risk."""
+    return judged_rows(forest(spark, sf_dir))
+
+
+@query("l_retrain_rows", TEST_ROWS)
+def retrain_rows(spark, sf_dir):
+    """The same of a stored model that was fitted again."""
+    _, test = entry_rows(spark, sf_dir)
+    return judged_rows(retrain(spark, sf_dir).join(test.select("id", "y_two"), "id"))
+
+
 SMALL_GRID = {
     "impurity": ["gini", "entropy"], "minInstancesPerNode": [2, 5], "minInfoGain": [0.0, 0.01], "maxDepth": [5],
 }
