@@ -16,7 +16,7 @@ one fingerprint and are never paired. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +159,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     prints = checkpointed(fingerprints(docs))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = components(links(distinct.select("fp")))
+    return named(prints, distinct, components(links(distinct.select("fp"))))
+
+
+def named(prints: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``prints``: the least id of its component in ``found``."""
     rooted = distinct.join(found, distinct.fp == found.node, "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
@@ -168,14 +172,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, found: DataFrame | None = None, print_of: Callable[[str | None], int] = fingerprint
+) -> DataFrame:
     """One document of each component: that with the least id; columns as before.
 
+    ``found`` has the components if they are not those of :func:`grouped`, and ``print_of`` makes its ``fp``.
+
     Rows that share this id are one document. Rows without an id stay only if no row of their
     component has one, and then one for each fingerprint does.
     """
     columns = docs.columns
-    found = grouped(docs)
+    found = grouped(docs) if found is None else found
     kept = found.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("least")
     ).filter("least")
@@ -184,7 +192,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     same = held.filter(F.col("_llm_n") > 1).dropDuplicates(["_llm_id"])
     nameless = found.filter(F.col("component_id").isNull()).select("fp").distinct()
     bare = docs.filter(F.col("doc_id").isNull())
-    bare_prints = bare.mapInArrow(_with_fingerprint, _with_print_schema(bare))
+    bare_prints = bare.mapInArrow(_with_fingerprint(print_of), _with_print_schema(bare))
     bare_kept = bare_prints.join(nameless.select(F.col("fp").alias("_llm_fp")), "_llm_fp", "left_semi").dropDuplicates(["_llm_fp"])
     return (
         held.filter(F.col("_llm_n") == 1).select(*columns)
@@ -199,8 +207,11 @@ def _with_print_schema(docs: DataFrame):
     return StructType([*docs.schema.fields]).add("_llm_fp", LongType())
 
 
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        values = pa.array([fingerprint(x.as_py()) for x in batch.column(at)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "_llm_fp"])
+def _with_fingerprint(print_of: Callable[[str | None], int]):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            values = pa.array([print_of(x.as_py()) for x in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "_llm_fp"])
+
+    return add

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from termloom.llm import (
-    decontaminate, licenses, packing, pii, quality_model, quality_rules, quotations, secrets, simhash, toxicity,
+    decontaminate, licenses, near_copies, packing, pii, quality_model, quality_rules, quotations, secrets, simhash, toxicity,
 )
 from termloom.llm.queries import QUERIES, tokenizer_path
 
@@ -363,6 +363,49 @@ def test_masks_cover_every_pair():
             assert any(not m >> i & 1 and not m >> j & 1 for m in tables)
 
 
+# ---- near copies (the pipeline's stage)
+
+
+def test_near_copies_match_brute_force(spark):
+    order = np.random.default_rng(12)
+    base = [[f"w{int(x)}" for x in order.integers(0, 5000, n)] for n in (60, 150, 400, 9, 4)]
+    texts = []
+    for w in base:
+        for k in range(16):  # from exact copies to far ones
+            v = list(w)
+            for at in order.choice(len(v), min(len(v), k * len(v) // 150), replace=False):
+                v[int(at)] = f"x{int(order.integers(10 ** 6))}"
+            texts.append(" ".join(v))
+    texts += [None, "", base[3][0]]
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    assert len(sets[0]) == 56
+    pairs = [
+        (i, j) for j in range(len(texts)) for i in range(j)
+        if (sets[i] or sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or not (sets[i] or sets[j])
+    ]
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        x, y = sorted((root[i], root[j]))
+        root = [x if r == y else r for r in root]
+    far = {i for i, j in pairs if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 2}
+    assert far and len(set(root)) > 8
+    docs = docs_of(spark, texts)
+    for most in (1, 4, 64):
+        got = {r.doc_id: r.component_id for r in near_copies.grouped(docs, most).collect()}
+        assert got == dict(enumerate(root))
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == sorted(set(root))
+
+
+def test_stage_removes_near_copies(spark):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w), " ".join(w[:50] + ["new"] + w[51:120] + ["new"] + w[121:]), " ".join(w[:100] + [f"y{i}" for i in range(100)])]
+    docs = docs_of(spark, texts)
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 2
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
 # ---- op10
 
 
