@@ -6,6 +6,11 @@ least, is boilerplate of that host and is removed. Exact copies of a text count
 document do not turn its lines into boilerplate. A document is depleted, and rejected, if fewer than
 ``min_words`` words or less than ``min_rest`` of its words remain.
 
+Where a corpus is filtered (``filtered``), absolute limits hold besides, which do not grow with a
+host or the table: a line in ``short_docs`` distinct texts over all hosts, or in ``long_docs`` if it has more
+than ``LONG_WORDS`` words, is removed everywhere. Texts over all hosts are at least those of each host, so
+this holds per host too. ``verdicts`` has these limits only if they are given.
+
 Defined cases: a null text is empty and fails the base rules; a null host is a host of its own; equal
 rows get equal results; documents without lines have nothing removed. Extra columns are not read.
 """
@@ -23,6 +28,10 @@ MIN_DOCS = 10
 MIN_WORDS = 10
 MIN_REST = 0.1
 REPEAT_WINDOW = 5
+#: Absolute limits of the pipeline's stage, in distinct texts.
+LONG_WORDS = 50
+SHORT_DOCS = 200
+LONG_DOCS = 10
 
 
 def has_word(line: Column) -> Column:
@@ -112,12 +121,22 @@ def frequent_lines(measured: DataFrame, max_share: float = MAX_SHARE, min_docs:
     ).select("source", "line", "n_docs")
 
 
+def widespread_lines(measured: DataFrame, short_docs: int, long_docs: int) -> DataFrame:
+    """(line) of the lines in so many distinct texts over all hosts, by their length."""
+    lines = measured.select("body", F.explode(F.array_distinct(F.arrays_zip("line", "line_words"))).alias("x"))
+    lines = lines.select("body", "x.line", (F.col("x.line_words") > LONG_WORDS).alias("long")).distinct()
+    by_line = lines.groupBy("line", "long").agg(F.count("*").alias("n_docs"))
+    return by_line.filter(F.col("n_docs") >= F.when(F.col("long"), long_docs).otherwise(short_docs)).select("line").distinct()
+
+
 def verdicts(
     docs: DataFrame,
     max_share: float = MAX_SHARE,
     min_docs: int = MIN_DOCS,
     min_words: int = MIN_WORDS,
     min_rest: float = MIN_REST,
+    short_docs: int | None = None,
+    long_docs: int | None = None,
 ) -> DataFrame:
     """Per document: base measures, what is removed (``removed``: hashes of lines), and ``kept``.
 
@@ -126,11 +145,10 @@ def verdicts(
     measured = checkpointed(measures(docs))
     frequent = frequent_lines(measured, max_share, min_docs).select(F.col("source").alias("host"), F.col("line").alias("hot"))
     lines = measured.select("row", "source", F.explode(F.array_distinct("line")).alias("line"))
-    removed = (
-        lines.join(frequent, lines.source.eqNullSafe(frequent.host) & (lines.line == frequent.hot))
-        .groupBy("row")
-        .agg(F.collect_set("line").alias("removed"))
-    )
+    gone = lines.join(frequent, lines.source.eqNullSafe(frequent.host) & (lines.line == frequent.hot)).select("row", "line")
+    if short_docs is not None and long_docs is not None:
+        gone = gone.unionByName(lines.join(widespread_lines(measured, short_docs, long_docs), "line").select("row", "line"))
+    removed = gone.groupBy("row").agg(F.collect_set("line").alias("removed"))
     found = measured.join(removed, "row", "left").withColumn(
         "removed", F.coalesce("removed", F.array().cast("array<bigint>"))
     )
@@ -148,10 +166,13 @@ def verdicts(
     )
 
 
-def filtered(docs: DataFrame, **limits: float) -> DataFrame:
-    """The kept documents without their removed lines; columns as before, ``n_chars`` (if there) recounted."""
+def filtered(docs: DataFrame, **limits: float | None) -> DataFrame:
+    """The kept documents without their removed lines; columns as before, ``n_chars`` (if there) recounted.
+
+    The limits are those of :func:`verdicts`, with the absolute ones unless they are given as None.
+    """
     columns = docs.columns
-    decided = verdicts(docs, **limits)
+    decided = verdicts(docs, **{"short_docs": SHORT_DOCS, "long_docs": LONG_DOCS, **limits})
     changed = (
         decided.filter(~F.col("kept") | (F.size("removed") > 0))
         .dropDuplicates(["row"])

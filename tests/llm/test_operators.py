@@ -146,6 +146,23 @@ def test_boiler_lines_go_and_copies_do_not_count(spark):
     assert out[0].text == own[0] and out[0].n_chars == len(own[0])
 
 
+def test_absolute_limits_do_not_grow_with_the_host(spark):
+    own = [f"the quick fox {i} jumps over {i} lazy dogs and runs {i} miles away today" for i in range(2500)]
+    long, short, wide = " ".join(f"p{k}" for k in range(60)), "read more here", "all rights kept"
+    rows = []
+    for i, t in enumerate(own):  # one host of 2,300 texts, ten of 20
+        more = [long] if i < 40 else [short] if i < 239 else []
+        more += [wide] if 2100 <= i < 2400 else []
+        rows.append((i, "\n".join([t, *more]), "en", "big" if i < 2300 else f"h{i % 10}", 0))
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r.text for r in quality_rules.filtered(docs).collect()}
+    assert len(got) == 2500
+    assert all(got[i] == own[i] for i in [*range(40), *range(2100, 2400)])  # 40 long ones; 300 over all hosts
+    assert all(got[i] == f"{own[i]}\n{short}" for i in range(40, 239))  # 199: below the limit of short lines
+    plain = {r.doc_id: r.n_removed_words for r in quality_rules.verdicts(docs).collect()}
+    assert not any(plain[i] for i in range(2300))  # op3's own rule
+
+
 def test_repeated_words_match_brute_force(spark):
     order = np.random.default_rng(5)
     texts = [" ".join(order.choice(list("abc"), order.integers(0, 60))) for _ in range(60)]
