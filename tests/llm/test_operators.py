@@ -276,6 +276,56 @@ def test_nested_layers_are_unwrapped():
     assert secrets.all_spans("just some ordinarywordswithoutanyspaceinthem here")[1] == []
 
 
+def hides(piece, text=None):
+    text = f"words {piece} words" if text is None else text
+    start = text.index(piece)
+    return (start, 0, start + len(piece)) in secrets.all_spans(text)[1]
+
+
+def in_base64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_compressed_layers_are_unwrapped_to_the_end():
+    plain = b"token=abcdef123456 " + b"filler" * 50
+    inner = gzip.compress(plain)
+    members = gzip.compress(b"first member") + inner
+    for raw in (gzip.compress(inner), gzip.compress(zlib.compress(plain)), zlib.compress(inner), members, gzip.compress(b"tok") + gzip.compress(b"en=abcdef")):
+        assert hides(in_base64(raw))
+        assert hides("".join(f"%{x:02x}" for x in raw)) and hides("data=" + "".join(f"%{x:02x}" for x in raw))
+        assert hides("".join(f"\\x{x:02x}" for x in raw))
+    assert secrets.all_spans(in_base64(gzip.compress(b"plain words only" * 9)))[1] == []
+
+
+def test_layers_over_a_window_are_whole(monkeypatch):
+    noise = np.random.default_rng(6).integers(0, 256, 900_000, np.uint8).tobytes()
+    for start in range(4):
+        run = in_base64(noise + b" token=abc123 ")  # the secret is behind the first MiB of the run
+        assert len(run) > secrets.WINDOW
+        monkeypatch.setattr(secrets, "HELD", 1 << 10 if start % 2 else 1 << 24)  # in files, or in memory
+        assert hides(in_base64(gzip.compress(b"." * start + run.encode(), 1)))
+    for start in range(2):
+        packed = in_base64(gzip.compress(noise + b" token=abc123 ", 1))
+        assert len(packed) > secrets.WINDOW
+        assert hides(in_base64(gzip.compress(b"." * start + packed.encode(), 1)))
+    edge = b"." * (secrets.WINDOW - 7)
+    for layer in (b"%74%6f%6b%65%6e=abc123", b"\\u0074\\u006fken=abc123", b"token=abc123"):
+        assert hides(in_base64(gzip.compress(edge + layer)))
+
+
+def test_short_wrapped_and_glued_base64():
+    for plain in (b"token=abc123", b"secret=abc123", b"token=abcdefg"):
+        assert hides(in_base64(plain).rstrip("="))
+    body = (b"x" * 50 + b" token=abc123 " + b"y" * 90, gzip.compress(bytes(range(256)) + b" token=abc123 " + bytes(range(256))))
+    for raw in body:
+        run = in_base64(raw)
+        for width in (64, 76):
+            for end in ("\n", "\r\n"):
+                assert hides(end.join(run[i : i + width] for i in range(0, len(run), width)))
+        for name in ("path/", "a/b/", "key_", "some-name-", "x+"):
+            assert hides(name + run)
+
+
 # ---- op7
 
 
