@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import (
-    decontaminate, licenses, packing, pii, quality_model, quality_rules, quotations, secrets, simhash, toxicity,
+    decontaminate, licenses, line_index, packing, pii, prefix_trie, quality_model, quality_rules, quotations, secrets, simhash,
+    toxicity, whitening,
 )
 from termloom.llm.common import table
 
@@ -218,3 +219,89 @@ def tokenizer_path() -> str:
 @query("op10_exact_complement")
 def op10_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+REPEATED_LINES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), placed AS (
+  SELECT r, doc_id, pos, lines[pos] AS line,
+    translate(regexp_replace(lines[pos], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM docs)
+), often AS (
+  SELECT k, max(doc_id) AS owner FROM placed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3
+), judged AS (
+  SELECT r, p.doc_id, pos, line, o.k IS NOT NULL AND p.doc_id IS DISTINCT FROM owner AS gone
+  FROM placed p LEFT JOIN often o ON p.k = o.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
+"""
+
+
+@query("op11_line_dedup", REPEATED_LINES)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_index.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", F.col("line_count").alias("n_lines"), F.col("dropped_lines").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+PREFIXES = r"""
+WITH told AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+      lambda v, k: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM told)
+), parts AS (
+  SELECT c.conv_id, pos, role, text FROM convs c JOIN told t ON t.conv_id = c.base AND pos <= h
+  UNION ALL
+  SELECT c.conv_id, pos, role, text FROM convs c JOIN told t ON t.conv_id = c.conv_id AND pos > h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, role, text FROM parts
+), places AS (
+  SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, list(struct_pack(r := role, t := text))
+    OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL
+  SELECT conv_id, 0, 0, [] FROM convs
+), named AS (
+  SELECT conv_id, depth, words, min(conv_id) OVER (PARTITION BY path) AS node, max(depth) OVER (PARTITION BY conv_id) AS whole FROM places
+), nodes AS (
+  SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * max(words) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = whole), '')) AS ends_sha256
+  FROM named GROUP BY node, depth
+), parents AS (
+  SELECT n.node, n.depth, p.node AS parent FROM nodes n LEFT JOIN named p ON p.conv_id = n.node AND p.depth = n.depth - 1
+), kids AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE parent IS NOT NULL GROUP BY ALL
+), under AS (
+  SELECT a.node, a.depth, count(*) FILTER (k.node IS NULL) AS n_leaves, sum(n.own) AS saved_tokens
+  FROM nodes n JOIN named a ON a.conv_id = n.node AND a.depth <= n.depth
+  LEFT JOIN kids k ON k.node = n.node AND k.depth = n.depth GROUP BY a.node, a.depth
+)
+SELECT n.node AS conv_id, n.depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM nodes n JOIN parents p USING (node, depth) JOIN under u USING (node, depth) LEFT JOIN kids k USING (node, depth)
+"""
+
+
+@query("op13_prefix_trie", PREFIXES)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce(F.lower(F.hex("ends")), F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
