@@ -76,10 +76,10 @@ def test_nodes_are_as_by_hand(spark, shard_turns):
 
 def test_empty_and_textless(spark):
     assert prefix_trie.trie(spark.createDataFrame([], CONV)).collect() == []
-    rows = [(21, 0, "user", "gone with the head")]  # conversation 20 is absent, and h is 3
-    assert zlib.crc32(b"21") % 4 > 0
+    rows = [(22, 0, "user", "gone with the head")]  # conversation 20 is absent
+    assert zlib.crc32(b"22") % 4 > 0
     assert rows_of(prefix_trie.trie(spark.createDataFrame(rows, CONV))) == by_hand(rows)
-    assert by_hand(rows)[0][:5] == (21, 0, None, 1, 0)
+    assert by_hand(rows)[0][:5] == (22, 0, None, 1, 0)
 
 
 def test_tree_is_balanced_and_copes_with_long_sequences():
