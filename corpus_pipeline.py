@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontaminate, near_copies, packing, pii, quality_rules
+from termloom.llm import decontaminate, packing, pii, quality_rules, simhash
 from termloom.llm.common import table
 from termloom.llm.queries import tokenizer_path
 from termloom.session import checkpointed
@@ -20,8 +20,8 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a similarity of 0.8 or more of their five-word shingles."""
-    return near_copies.one_of_each(docs)
+    """One document of each group whose fingerprints are linked by at most two differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
