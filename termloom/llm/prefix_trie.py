@@ -275,7 +275,7 @@ def _shard_nodes(table: pa.Table) -> pa.Table:
 
     ids, words = lists("ids"), lists("words")
     order = sorted(range(len(ids)), key=lambda i: ids[i].astype(">i8").tobytes())  # ids are not negative
-    convs, copies, ends = ([table.column(c).to_pylist()[i] for i in order] for c in ("conv_id", "n", "ends"))
+    convs, copies, ends = ([values[i] for i in order] for values in (table.column(c).to_pylist() for c in ("conv_id", "n", "ends")))
     ids, words = [ids[i] for i in order], [words[i] for i in order]
     up, down = table.column("up")[0].as_py(), table.column("down")[0].as_py()
 
