@@ -58,8 +58,8 @@ def secular_roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
     own, nxt = np.arange(k), np.minimum(np.arange(k) + 1, k - 1)
     gap = np.append(np.diff(poles), total)
     half = gap / 2
-    middle = 1 + (weights / (poles - (poles + half)[:, None])).sum(axis=1)
-    middle[-1] = 1 + (weights / ((poles - poles[-1]) - half[-1])).sum()
+    halfway = weights / ((poles[None, :] - poles[:, None]) - half[:, None])
+    middle = 1 + halfway.sum(axis=1)
     near = np.where((middle > 0) | (own == k - 1), own, nxt)
     shifted = poles[None, :] - poles[near][:, None]
     low, high = np.where(near == own, 0.0, -half), np.where(near == own, half, 0.0)
@@ -67,39 +67,40 @@ def secular_roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
         low[-1], high[-1] = half[-1], gap[-1]
     else:
         low[-1], high[-1] = 0.0, half[-1]
-    x = (low + high) / 2
-    lower = np.arange(k)[None, :] <= own[:, None]  # poles below each root
-    active = np.arange(k)
-    for _ in range(80):
-        s = shifted[active]
-        distance = s - x[active, None]
-        part = weights / distance
-        f = 1 + part.sum(axis=1)
-        size = 1 + np.abs(part).sum(axis=1)
-        up = f < 0  # f rises between two poles
-        low[active] = np.where(up, x[active], low[active])
-        high[active] = np.where(up, high[active], x[active])
-        done = (np.abs(f) <= EPS * k * size) | (high[active] - low[active] <= 2 * EPS * np.abs(x[active]))
-        slope = part / distance
-        below = (slope * lower[active]).sum(axis=1)
-        above = slope.sum(axis=1) - below
-        d1 = s[np.arange(len(active)), own[active]] - x[active]
-        d2 = s[np.arange(len(active)), nxt[active]] - x[active]
-        last = active == k - 1
-        with np.errstate(all="ignore"):
-            a = (d1 + d2) * f - d1 * d2 * (below + above)
-            b = d1 * d2 * f
-            c = f - d1 * below - d2 * above
+    lower = (np.arange(k)[None, :] <= own[:, None]).astype(float)  # poles below each root
+    to_own, to_next, last = shifted[own, own], shifted[own, nxt], own == k - 1
+    with np.errstate(all="ignore"):
+        # first guess: the two poles beside the root exactly, all others by their sum halfway
+        w1, w2 = weights, np.where(last, 0.0, weights[nxt])
+        rest = middle - halfway[own, own] - np.where(last, 0.0, halfway[own, nxt])
+        b = rest * (to_own + to_next) + w1 + w2
+        c = rest * to_own * to_next + w1 * to_next + w2 * to_own
+        root = np.sqrt(np.abs(b * b - 4 * rest * c))
+        x = np.where(last, w1 / rest, np.where(b > 0, 2 * c / (b + root), (b - root) / (2 * rest)))
+        x = np.where((x > low) & (x < high), x, (low + high) / 2)
+        for _ in range(80):
+            distance = shifted - x[:, None]
+            part = weights / distance
+            total = part.sum(axis=1)
+            under = np.einsum("ij,ij->i", part, lower)
+            f = 1 + total
+            up = f < 0  # f rises between two poles
+            low, high = np.where(up, x, low), np.where(up, high, x)
+            done = (np.abs(f) <= EPS * k * (1 + total - 2 * under)) | (high - low <= 2 * EPS * np.abs(x))
+            if done.all():
+                break
+            part /= distance
+            slope = part.sum(axis=1)
+            below = np.einsum("ij,ij->i", part, lower)
+            d1, d2 = to_own - x, to_next - x
+            both = d1 * d2
+            a = (d1 + d2) * f - both * slope
+            b = both * f
+            c = f - d1 * below - d2 * (slope - below)
             root = np.sqrt(np.abs(a * a - 4 * b * c))
-            step = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
-            step = np.where(last, -f / (below + above), step)
-            to = x[active] + step
-        inside = np.isfinite(to) & (to > low[active]) & (to < high[active])
-        to = np.where(inside, to, (low[active] + high[active]) / 2)
-        x[active] = np.where(done, x[active], to)
-        active = active[~done]
-        if not len(active):
-            break
+            to = x + np.where(last, -f / slope, np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root)))
+            to = np.where((to > low) & (to < high), to, (low + high) / 2)
+            x = np.where(done, x, to)
     return near, x
 
 
