@@ -6,10 +6,9 @@ least, is boilerplate of that host and is removed. Exact copies of a text count
 document do not turn its lines into boilerplate. A document is depleted, and rejected, if fewer than
 ``min_words`` words or less than ``min_rest`` of its words remain.
 
-Where a corpus is filtered (``filtered``), absolute limits hold besides, which do not grow with a
-host or the table: a line in ``short_docs`` distinct texts over all hosts, or in ``long_docs`` if it has more
-than ``LONG_WORDS`` words, is removed everywhere. Texts over all hosts are at least those of each host, so
-this holds per host too. ``verdicts`` has these limits only if they are given.
+Absolute limits hold besides, which do not grow with a host or the table: a line in ``short_docs`` distinct
+texts over all hosts, or in ``long_docs`` if it has more than ``LONG_WORDS`` words, is removed everywhere. Texts
+over all hosts are at least those of each host, so this holds per host too. None switches them off.
 
 Defined cases: a null text is empty and fails the base rules; a null host is a host of its own; equal
 rows get equal results; documents without lines have nothing removed. Extra columns are not read.
@@ -28,7 +27,7 @@ MIN_DOCS = 10
 MIN_WORDS = 10
 MIN_REST = 0.1
 REPEAT_WINDOW = 5
-#: Absolute limits of the pipeline's stage, in distinct texts.
+#: Absolute limits, in distinct texts.
 LONG_WORDS = 50
 SHORT_DOCS = 200
 LONG_DOCS = 10
@@ -135,8 +134,8 @@ def verdicts(
     min_docs: int = MIN_DOCS,
     min_words: int = MIN_WORDS,
     min_rest: float = MIN_REST,
-    short_docs: int | None = None,
-    long_docs: int | None = None,
+    short_docs: int | None = SHORT_DOCS,
+    long_docs: int | None = LONG_DOCS,
 ) -> DataFrame:
     """Per document: base measures, what is removed (``removed``: hashes of lines), and ``kept``.
 
@@ -169,10 +168,10 @@ def verdicts(
 def filtered(docs: DataFrame, **limits: float | None) -> DataFrame:
     """The kept documents without their removed lines; columns as before, ``n_chars`` (if there) recounted.
 
-    The limits are those of :func:`verdicts`, with the absolute ones unless they are given as None.
+    The limits are those of :func:`verdicts`.
     """
     columns = docs.columns
-    decided = verdicts(docs, **{"short_docs": SHORT_DOCS, "long_docs": LONG_DOCS, **limits})
+    decided = verdicts(docs, **limits)
     changed = (
         decided.filter(~F.col("kept") | (F.size("removed") > 0))
         .dropDuplicates(["row"])

@@ -115,9 +115,13 @@ WITH docs AS (
 ), frequent AS (
   SELECT l.source, l.norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   GROUP BY l.source, l.norm, h.n_host HAVING count(DISTINCT l.text) >= 10 AND count(DISTINCT l.text) > 0.1 * h.n_host
+), widespread AS (
+  SELECT norm FROM lines GROUP BY norm, n_line > 50
+  HAVING count(DISTINCT text) >= CASE WHEN n_line > 50 THEN 10 ELSE 200 END
 ), removed AS (
   SELECT l.r, sum(n_line) AS n_removed FROM lines l
-  JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY l.r
+  LEFT JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm
+  LEFT JOIN widespread w ON l.norm = w.norm WHERE f.norm IS NOT NULL OR w.norm IS NOT NULL GROUP BY l.r
 ), measured AS (
   SELECT w.r, doc_id, len(w)::BIGINT AS n_words,
     coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,

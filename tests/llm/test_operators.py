@@ -159,8 +159,10 @@ def test_absolute_limits_do_not_grow_with_the_host(spark):
     assert len(got) == 2500
     assert all(got[i] == own[i] for i in [*range(40), *range(2100, 2400)])  # 40 long ones; 300 over all hosts
     assert all(got[i] == f"{own[i]}\n{short}" for i in range(40, 239))  # 199: below the limit of short lines
-    plain = {r.doc_id: r.n_removed_words for r in quality_rules.verdicts(docs).collect()}
-    assert not any(plain[i] for i in range(2300))  # op3's own rule
+    found = {r.doc_id: r.n_removed_words for r in quality_rules.verdicts(docs).collect()}
+    assert {i for i, n in found.items() if n} == {*range(40), *range(2100, 2400)}
+    plain = {r.doc_id: r.n_removed_words for r in quality_rules.verdicts(docs, short_docs=None, long_docs=None).collect()}
+    assert not any(plain[i] for i in range(2300))  # the host's share alone
 
 
 def test_repeated_words_match_brute_force(spark):
