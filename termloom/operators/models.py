@@ -143,35 +143,51 @@ def _sampled(points: list[dict], n: int, seed: int) -> list[dict]:
     return points if len(points) <= n else random.Random(seed).sample(points, n)
 
 
+def fold_rows(
+    df: DataFrame, features: Sequence[str], label: str, folds: int, key: Sequence[str], seed: int = 42
+) -> DataFrame:
+    """What a search reads, stored, with the fold of each row. Folds come from the key, so every point
+    sees the same ones and rows that share a key stay together."""
+    return checkpointed(df.select(*key, label, *features).withColumn("_fold", hash_share(key, seed, folds)))
+
+
+def score_points(
+    data: DataFrame, features: Sequence[str], label: str, kind: str, points: Sequence[dict],
+    folds: int, seed: int = 42, parallelism: int = 4,
+) -> list[dict]:
+    """Mean accuracy, its standard error and the mean fit time of each point. Fits of all points and folds are
+    submitted ``parallelism`` at a time."""
+    def one(job: tuple[dict, int]) -> tuple[float | None, float]:
+        point, fold = job
+        train, test = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
+        start = time.monotonic()
+        model = fit_classifier(train, features, label, kind, seed, **point)
+        took = time.monotonic() - start
+        hit = F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double"))
+        return model.transform(test).agg(hit.alias("a")).first()["a"], took
+
+    with ThreadPool(parallelism) as pool:
+        done = pool.map(one, [(p, f) for p in points for f in range(folds)], chunksize=1)
+    trials = []
+    for i, point in enumerate(points):
+        part = done[i * folds : (i + 1) * folds]
+        scores = [s for s, _ in part if s is not None]
+        mean = sum(scores) / len(scores) if scores else 0.0
+        spread = sum((s - mean) ** 2 for s in scores) / (len(scores) - 1) if len(scores) > 1 else 0.0
+        trials.append({
+            "params": point, "mean_test_score": mean, "std_error": math.sqrt(spread / len(scores)) if scores else 0.0,
+            "mean_fit_time": sum(t for _, t in part) / len(part),
+        })
+    return trials
+
+
 def cross_validate(
     df: DataFrame, features: Sequence[str], label: str, kind: str, points: Sequence[dict],
     folds: int, key: Sequence[str], seed: int = 42, parallelism: int = 4,
 ) -> list[dict]:
-    """Mean accuracy and fit time of each point. Folds come from the key, so every point sees
-    the same ones; several fits are submitted at a time."""
-    data = checkpointed(
-        df.select(*key, label, *features).withColumn("_fold", hash_share(key, seed, folds))
-    )
-
-    def one(point: dict) -> dict:
-        scores, times = [], []
-        for fold in range(folds):
-            train, test = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
-            start = time.monotonic()
-            model = fit_classifier(train, features, label, kind, seed, **point)
-            times.append(time.monotonic() - start)
-            hit = F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double"))
-            value = model.transform(test).agg(hit.alias("a")).first()["a"]
-            if value is not None:
-                scores.append(value)
-        return {
-            "params": point,
-            "mean_test_score": sum(scores) / len(scores) if scores else 0.0,
-            "mean_fit_time": sum(times) / len(times),
-        }
-
-    with ThreadPool(parallelism) as pool:
-        return pool.map(one, points)
+    """The trials of the given points."""
+    data = fold_rows(df, features, label, folds, key, seed)
+    return score_points(data, features, label, kind, points, folds, seed, parallelism)
 
 
 def trial_table(trials: Sequence[dict], df: DataFrame) -> DataFrame:

@@ -153,18 +153,25 @@ def with_trim_quant(panel: DataFrame, entity: str = "id") -> DataFrame:
     return panel.withColumn("trim_quant", F.max("trim_order").over(Window.partitionBy(entity)))
 
 
+def term_list(panel: DataFrame) -> list[int]:
+    """All term orders of a panel, from one number: the greatest."""
+    return list(range(1, 1 + (panel.agg(F.max("trim_order")).first()[0] or 0)))
+
+
 def pivot_terms(
     panel: DataFrame, attributes: Sequence[str], orders: Sequence[int], entity: str = "id"
 ) -> DataFrame:
     """Long to wide: ``trimNN_<attribute>`` for the listed term orders, sorted by name.
 
-    The list is given, so Spark needs no extra pass to find it, and the panel has one row per
-    entity and term, so each cell has one value.
+    The list is given (``term_list`` finds that of a panel). Two rows of an entity for one term are an error, as
+    none of them could stand in the cell.
     """
-    cells = {
-        f"trim{n:02d}_{a}": F.max(F.when(F.col("trim_order") == n, F.col(a))).alias(f"trim{n:02d}_{a}")
-        for n in orders for a in attributes
-    }
+    def cell(n: int, a: str) -> Column:
+        here = F.col("trim_order") == n
+        twice = F.raise_error(F.concat(F.lit(f"term {n} has two rows of entity "), F.first(entity).cast("string")))
+        return F.when(F.count_if(here) > 1, twice.cast(panel.schema[a].dataType)).otherwise(F.max(F.when(here, F.col(a))))
+
+    cells = {f"trim{n:02d}_{a}": cell(n, a).alias(f"trim{n:02d}_{a}") for n in orders for a in attributes}
     return panel.groupBy(entity).agg(*[cells[name] for name in sorted(cells)])
 
 

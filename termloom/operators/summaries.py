@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Bits of the two bucket levels of ``quantiles``: the second refines the first.
-COARSE_BITS = 6
-FINE_BITS = 18
+from termloom.operators.spread import lookup_join
+from termloom.session import checkpointed
+
+# ``quantiles``: size of a rank sketch, the share of ranks added to both sides of what it says (several times its error),
+# rows of a group that are sorted in one task, and buckets of one narrowing step.
+SKETCH_K = 2048
+MARGIN = 0.005
+ROW_TARGET = 100_000
+BUCKETS = 256
 
 
 def known_double(column: Column) -> Column:
@@ -86,70 +93,126 @@ def group_mode(df: DataFrame, by: Sequence[str], column: str, name: str | None =
     return counts.groupBy(*by).agg(best.alias("_best")).select(*by, F.col("_best._v").alias(name or column))
 
 
-def _hits(lo: str, hi: str, ranks: Column) -> Column:
-    """The searched ranks that fall into [lo, hi), counted from lo."""
-    inside = F.filter(ranks, lambda r: (r["k"] >= F.col(lo)) & (r["k"] < F.col(hi)))
-    return F.transform(
-        inside, lambda r: F.struct(r["q"].alias("q"), r["side"].alias("side"), (r["k"] - F.col(lo)).alias("k"))
+def _places(total: Column, probs: Sequence[float]) -> list[tuple[int, int, Column]]:
+    """(number of the level, side, rank) of the two values between which each level lies."""
+    out = []
+    for i, p in enumerate(probs):
+        place = (total - 1) * F.lit(float(p))
+        out += [(i, 0, F.floor(place).cast("long")), (i, 1, F.ceil(place).cast("long"))]
+    return out
+
+
+def _brackets(known: DataFrame, by: list[str], probs: Sequence[float], whole: bool) -> DataFrame:
+    """(by, _lo, _hi): for each level a pair of values that very likely enclose its ranks; ``whole``: surely."""
+    sketched = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        *([] if whole else [F.kll_sketch_agg_double("_v", F.lit(SKETCH_K)).alias("_sketch")]),
     )
 
+    if whole:
+        ends = [(F.col("_least"), F.col("_most"))] * len(probs)
+    else:
+        few = F.col("_total") <= SKETCH_K  # a group this small is opened whole
 
-def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``by`` + ``p_<percent>`` columns.
+        def at(share: float, end: str) -> Column:
+            if not 0 < share < 1:
+                return F.col(end)
+            return F.when(few, F.col(end)).otherwise(F.kll_sketch_get_quantile_double("_sketch", F.lit(float(share))))
+
+        ends = [(at(p - MARGIN, "_least"), at(p + MARGIN, "_most")) for p in probs]
+    return sketched.select(*by, F.array(*[x for x, _ in ends]).alias("_lo"), F.array(*[x for _, x in ends]).alias("_hi"))
 
-    ``percentile`` would hold all distinct values of a group in one task. Here values are
-    counted by (group, value), the counts are added up in buckets of a fixed increasing
-    function of the value, and only the buckets that hold a searched rank are opened - first
-    coarse ones, then 4096 finer ones inside each, then the values of those few.
+
+def _collapsed(known: DataFrame, brackets: DataFrame, by: list[str], levels: int) -> DataFrame:
+    """(by, _pos, _gap, _n): values inside a bracket with their counts; all values between two brackets are one row.
+
+    The order of (_pos, _gap) is that of the values.
     """
-    by = list(by)
-    value = known_double(F.col(column))
-    known = df.select(*by, value.alias("_v"))
-    for c in [*by, "_v"]:
-        known = known.filter(F.col(c).isNotNull())
-    bucket = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(float(1 << FINE_BITS))).cast("long")
-    # never null, so that the joins below add no filter of their own and all three uses of
-    # the counts share one scan and one shuffle
-    bucket = F.coalesce(bucket, F.lit(0))
-    counts = (
-        known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_fine", bucket)
-        .withColumn("_coarse", F.shiftright("_fine", FINE_BITS - COARSE_BITS))
+    held = lookup_join(known, brackets, by, ["_v"], stored=True)
+    lows, highs = [F.col("_lo")[i] for i in range(levels)], [F.col("_hi")[i] for i in range(levels)]
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(x, y) for x, y in zip(lows, highs)])
+    below = [F.when(y < F.col("_v"), y) for y in highs]
+    before = F.coalesce(F.greatest(*below) if levels > 1 else below[0], F.lit(float("-inf")))
+    placed = held.select(*by, F.when(inside, F.col("_v")).otherwise(before).alias("_pos"), F.when(inside, 0).otherwise(1).alias("_gap"))
+    return placed.groupBy(*by, "_pos", "_gap").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _cumulated(table: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
+    upto = Window.partitionBy(*group).orderBy(*order)
+    whole = Window.partitionBy(*group)
+    return table.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_n")).withColumn(
+        "_total", F.sum("_n").over(whole)
     )
 
-    fine = counts.groupBy(*by, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
 
-    def cumulated(table: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-        upto = Window.partitionBy(*group).orderBy(order)
-        return table.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+def _searched(probs: Sequence[float]) -> Column:
+    """The ranks of a group that fall into [_lo, _hi)."""
+    ranks = [F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), k.alias("k")) for i, side, k in _places(F.col("_total"), probs)]
+    return F.filter(F.array(*ranks), lambda r: (r["k"] >= F.col("_lo")) & (r["k"] < F.col("_hi")))
 
-    coarse = cumulated(
-        fine.groupBy(*by, "_coarse").agg(F.sum("_n").alias("_n")), by, "_coarse"
-    ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-    searched = []
-    for i, p in enumerate(probs):
-        place = (F.col("_total") - 1) * F.lit(float(p))
-        for side, k in ((0, F.floor(place)), (1, F.ceil(place))):
-            searched.append(
-                F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), k.cast("long").alias("k"))
-            )
-    opened = (
-        coarse.withColumn("_hits", _hits("_lo", "_hi", F.array(*searched)))
-        .filter(F.size("_hits") > 0).select(*by, "_coarse", "_total", "_hits")
-    )
-    opened_fine = (
-        cumulated(fine.join(opened, [*by, "_coarse"]), [*by, "_coarse"], "_fine")
-        .withColumn("_hits", _hits("_lo", "_hi", F.col("_hits")))
-        .filter(F.size("_hits") > 0).select(*by, "_fine", "_total", "_hits")
+
+def _narrowed(counts: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    """The same counts with fewer rows: a sketch of the values left gives buckets, and those without a searched
+    rank become one row each."""
+    shares = F.array(*[F.lit((j + 1) / BUCKETS) for j in range(BUCKETS - 1)])
+    splits = (
+        counts.groupBy(*by).agg(F.kll_sketch_agg_double("_pos", F.lit(SKETCH_K)).alias("_sketch"))
+        .select(*by, F.kll_sketch_get_quantile_double("_sketch", shares).alias("_splits"))
     )
-    found = (
-        cumulated(counts.join(opened_fine, [*by, "_fine"]), [*by, "_fine"], "_v")
-        .withColumn("_hit", F.explode(_hits("_lo", "_hi", F.col("_hits"))))
-        .select(*by, "_total", "_v", "_hit.q", "_hit.side")
+    dealt = lookup_join(counts, splits, by, ["_pos"]).withColumn("_bucket", F.size(F.filter("_splits", lambda x: x <= F.col("_pos"))))
+    dealt = checkpointed(dealt.drop("_splits"))
+    sums = _cumulated(dealt.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_n")), by, "_bucket")
+    opened = sums.select(*by, "_bucket", (F.size(_searched(probs)) > 0).alias("_open"))
+    marked = lookup_join(dealt, opened, [*by, "_bucket"], ["_pos"])
+    shut = marked.filter("NOT _open").groupBy(*by, "_bucket").agg(
+        F.max("_pos").alias("_pos"), F.lit(1).alias("_gap"), F.sum("_n").alias("_n")
     )
+    columns = [*by, "_pos", "_gap", "_n"]
+    return checkpointed(marked.filter("_open").select(*columns).unionByName(shut.select(*columns)))
+
+
+def quantiles(
+    df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], row_target: int = ROW_TARGET
+) -> DataFrame:
+    """Exact quantiles with linear interpolation: ``by`` + ``p_<percent>`` columns.
+
+    ``percentile`` would hold all distinct values of a group in one task. Here a first scan builds one mergeable rank sketch
+    for each group, which encloses every searched rank between two values, wherever they lie. A second scan counts the values inside
+    these brackets exactly and everything between two brackets as one row. While a group still has more than
+    ``row_target`` rows, a sketch of these splits them again; the table itself is not read any more. A rank that the sketch
+    did not enclose is noticed, as it falls between two brackets, and its group is searched anew without a first guess.
+    """
+    by = list(by)
+    known = df.select(*by, known_double(F.col(column)).alias("_v"))
+    for c in [*by, "_v"]:
+        known = known.filter(F.col(c).isNotNull())
+    known = known.withColumn("_v", F.col("_v") + F.lit(0.0))  # one zero
+
+    def ranks(rows: DataFrame, whole: bool) -> DataFrame:
+        brackets = checkpointed(_brackets(rows, by, probs, whole))
+        counts = checkpointed(_collapsed(rows, brackets, by, len(probs)))
+
+        def largest() -> int:
+            return counts.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+        size = largest()
+        while size > row_target:
+            counts = _narrowed(counts, by, probs)
+            before, size = size, largest()
+            if size >= before:  # as many rows as searched ranks can have
+                break
+        cells = _cumulated(counts, by, "_pos", "_gap")
+        return cells.withColumn("_hit", F.explode(_searched(probs))).select(*by, "_total", "_pos", "_gap", "_hit.q", "_hit.side")
+
+    found = checkpointed(ranks(known, False))
+    missed = found.filter("_gap = 1").select(*by).distinct()
+    if not missed.isEmpty():
+        missed = checkpointed(missed)
+        again = ranks(known.join(missed, by, "left_semi"), True)
+        found = found.join(missed, by, "left_anti").unionByName(again)
 
     def picked(i: int, side: int) -> Column:
-        return F.max(F.when((F.col("q") == i) & (F.col("side") == side), F.col("_v")))
+        return F.max(F.when((F.col("q") == i) & (F.col("side") == side), F.col("_pos")))
 
     out = []
     for i, p in enumerate(probs):

@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import clean
-from termloom.operators import balance, models
-from termloom.operators.cascade import delivery, fit_cascade, load_cascade, save_cascade, score_cascade
+from termloom.operators import balance, models, resample
+from termloom.operators.cascade import delivery, fit_cascade
 from termloom.operators.components import (
     Components, explained_table, fit_components, fit_count_components,
 )
 from termloom.operators.encode import area_code, condition_code, encode_labels, fit_labels, sex_code
 from termloom.operators.impute import Chain, fit_class_chain, fit_linear_chain
 from termloom.operators.panel import pivot_terms, year_window
+from termloom.operators.search import search_adaptive
 from termloom.operators.summaries import histogram, value_counts
 from termloom.plans import sql, standin_models as data
+from termloom.plans.bundle import load_bundle, manifest_table, save_bundle
 from termloom.plans.registry import query
-from termloom.plans.training import entry_table
+from termloom.plans.training import entry_table, search_fit_store
 from termloom.session import checkpointed, scratch_path
 from termloom.sources import standins
 from termloom.sources.standins import table
@@ -375,6 +377,73 @@ def balance_variants(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+BALANCED = SMOTE + """, grown AS (
+    SELECT id, is_zero, 0 AS synthetic, v FROM e UNION ALL
+    SELECT id, 1, 1, list_transform(list_zip(v, w), lambda p: p[1] + u * (p[2] - p[1])) FROM made),
+  rows AS (SELECT row_number() OVER (ORDER BY synthetic, id, v) - 1 AS r, id, is_zero, synthetic, v FROM grown),
+  placed AS (SELECT *, min(r) OVER (PARTITION BY v) AS place FROM rows),
+  pairs AS (SELECT a.r, a.is_zero, b.r AS other, b.is_zero AS other_is_zero,
+      row_number() OVER (PARTITION BY a.r ORDER BY list_distance(a.v, b.v), b.place, a.is_zero <> b.is_zero, b.r) AS nth,
+      row_number() OVER (PARTITION BY a.r ORDER BY list_distance(a.v, b.v), b.r) AS by_row
+    FROM placed a JOIN placed b ON a.r <> b.r)"""
+
+
+@query(
+    "l_enn_removed",
+    sql.with_(
+        BALANCED,
+        """SELECT r AS "row", id, is_zero, synthetic FROM rows WHERE r IN
+             (SELECT r FROM pairs WHERE nth <= 3 GROUP BY r HAVING bool_or(is_zero <> other_is_zero))""",
+    ),
+)
+def enn_removed(spark, sf_dir):
+    """Rows of the balanced table whose three nearest are not all of their class."""
+    rows = resample.numbered(balance.oversample(one_against_rest(spark, sf_dir), "is_zero", AXES), AXES)
+    gone = resample.enn_removed(rows, "is_zero", AXES, resample.ROW)
+    return rows.join(gone, resample.ROW, "left_semi").select(resample.ROW, "id", "is_zero", "synthetic")
+
+
+@query(
+    "l_tomek_links",
+    """WITH e AS (SELECT vec_id AS id, label % 2 AS odd, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+         nearest AS (SELECT a.id, a.odd, b.id AS other, b.odd AS other_odd,
+             row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS nth FROM e a JOIN e b ON a.id <> b.id)
+       SELECT a.id, a.other FROM nearest a JOIN nearest b ON a.other = b.id AND b.other = a.id
+       WHERE a.nth = 1 AND b.nth = 1 AND a.odd <> a.other_odd AND a.id < a.other""",
+)
+def tomek_links(spark, sf_dir):
+    """Mutual nearest vectors of different classes."""
+    rows = one_against_rest(spark, sf_dir).drop("is_zero").join(
+        table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("odd")), "id"
+    )
+    return resample.tomek_links(rows, "odd", AXES)
+
+
+@query(
+    "l_balance_cleaned",
+    sql.with_(
+        BALANCED,
+        """, enn AS (SELECT r FROM pairs WHERE nth <= 3 GROUP BY r HAVING bool_or(is_zero <> other_is_zero)),
+           links AS (SELECT a.r FROM pairs a JOIN pairs b ON a.other = b.r AND b.other = a.r
+             WHERE a.by_row = 1 AND b.by_row = 1 AND a.is_zero <> a.other_is_zero)
+           SELECT 'smote' AS method, is_zero, synthetic, count(*) AS n, sum(r)::BIGINT AS row_sum FROM rows GROUP BY ALL
+           UNION ALL SELECT 'smote_enn', is_zero, synthetic, count(*), sum(r)::BIGINT FROM rows
+             WHERE r NOT IN (SELECT r FROM enn) GROUP BY ALL
+           UNION ALL SELECT 'smote_tomek', is_zero, synthetic, count(*), sum(r)::BIGINT FROM rows
+             WHERE r NOT IN (SELECT r FROM links) GROUP BY ALL""",
+    ),
+)
+def balance_cleaned(spark, sf_dir):
+    """What each way of balancing keeps: rows per class and kind, and the sum of their numbers."""
+    parts = [
+        resample.balanced(one_against_rest(spark, sf_dir), "is_zero", AXES, method=m)
+        .groupBy("is_zero", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.sum(resample.ROW).alias("row_sum"))
+        .select(F.lit(m).alias("method"), "is_zero", "synthetic", "n", "row_sum")
+        for m in balance.METHODS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def entry_rows(spark, sf_dir):
     """Entry features of the closed entities, split for training and test."""
     closed, _ = data.closed_and_open(data.people(spark, sf_dir))
@@ -430,24 +499,32 @@ def retrain_rows(spark, sf_dir):
     return judged_rows(retrain(spark, sf_dir).join(test.select("id", "y_two"), "id"))
 
 
-SMALL_GRID = {
-    "impurity": ["gini", "entropy"], "minInstancesPerNode": [2, 5], "minInfoGain": [0.0, 0.01], "maxDepth": [5],
-}
-
-
 @query("l_tree_search")
 def tree_search(spark, sf_dir):
+    """All points of the tree grid that Spark can reach, two folds each, most promising first."""
     train, _ = entry_rows(spark, sf_dir)
-    trials = models.search_tree(train, data.ENTRY_FEATURES, "y_two", space=SMALL_GRID, n_iter=4)
+    trials = search_adaptive(train, data.ENTRY_FEATURES, "y_two", n_iter=150)
     return models.trial_table(trials, train).drop("mean_fit_time")
 
 
 @query("l_forest_search")
 def forest_search(spark, sf_dir):
+    """Successive halving over the forest grid: 200 and 300 trees, seven folds."""
     train, _ = entry_rows(spark, sf_dir)
-    space = {"numTrees": [5, 10], "maxDepth": [3, 5], "featureSubsetStrategy": ["0.35"]}
-    trials = models.search_forest(train, data.ENTRY_FEATURES, "y_two", space=space, folds=3)
-    return models.trial_table(trials, train).drop("mean_fit_time")
+    return models.trial_table(models.search_forest(train, data.ENTRY_FEATURES, "y_two"), train).drop("mean_fit_time")
+
+
+@query("l_search_fit")
+def search_fit(spark, sf_dir):
+    """Search, fit, store, load and evaluate in one job, on the rows as they are and on balanced ones."""
+    train, test = entry_rows(spark, sf_dir)
+    parts = []
+    for balanced in (False, True):
+        job = search_fit_store(
+            train, test, data.ENTRY_FEATURES, "y_two", scratch_path(spark, "searched"), balanced=balanced
+        )
+        parts.append(job.row().withColumn("balanced", F.lit(balanced)))
+    return parts[0].unionByName(parts[1])
 
 
 TRIALS = """SELECT p_brand || '/' || p_type AS params, CAST(count(*) % 7 AS DOUBLE) - 3.0 AS mean_test_score,
@@ -577,22 +654,53 @@ def cascade(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+DELIVERED = [
+    "id", "age_in", "program_in", "year_in", "trim_in", "sex", "pred_year1", "prob_year1", "pred_year2", "prob_year2",
+    "pred_year3", "prob_year3",
+]
+
+
+def stored_bundle(spark, sf_dir) -> str:
+    """Train on the closed entities and store the bundle; only its path goes on."""
+    # the last year is not scored: its label is not open any more
+    path = scratch_path(spark, "bundle")
+    save_bundle(spark, data.fit_bundle(spark, sf_dir, (1, 2)), path)
+    return path
+
+
 @query("l_score_active")
 def score_active(spark, sf_dir):
-    """Stored models applied to the entities without a final label, delivered with attributes."""
-    # the last year is trained but, as its label is not open any more, not scored
-    _, stages, train, active, still_open = data.cascade_data(spark, sf_dir, year_nos=(1, 2))
-    fitted, _ = fit_cascade(stages, train)
-    path = scratch_path(spark, "cascade")
-    save_cascade(fitted, stages, path)
-    scored = score_cascade(load_cascade(stages, path), stages, active, still_open)
-    return delivery(
-        scored,
-        ["id", "age_in", "program_in", "year_in", "trim_in", "sex", "pred_year1", "prob_year1",
-         "pred_year2", "prob_year2", "pred_year3", "prob_year3"],
+    """The entities without a final label, scored from a stored bundle and delivered with attributes."""
+    return delivery(data.score_open(spark, sf_dir, stored_bundle(spark, sf_dir)), DELIVERED)
+
+
+@query(
+    "l_score_active_pattern",
+    sql.with_(
+        sql.LABELLED,
+        """SELECT id, true AS scored_year1, trim_quant >= 4 AS scored_year2, trim_quant >= 8 AS scored_year3, 0 AS n_no_probability
+           FROM labelled WHERE y = 'active'""",
+    ),
+)
+def score_active_pattern(spark, sf_dir):
+    """Who is scored: every open entity for the first year, and for a later one those that completed the year before."""
+    scored = score_active(spark, sf_dir)
+    odd = [F.when(F.col(f"prob_year{n}").isNotNull() & ~F.col(f"prob_year{n}").between(0, 1), 1).otherwise(0) for n in (1, 2, 3)]
+    return scored.select(
+        "id", *[(F.col(f"pred_year{n}").isNotNull() & F.col(f"prob_year{n}").isNotNull()).alias(f"scored_year{n}") for n in (1, 2, 3)],
+        (odd[0] + odd[1] + odd[2]).alias("n_no_probability"),
     )
 
 
+@query("l_bundle_manifest")
+def bundle_manifest(spark, sf_dir):
+    """Stages and features of every version under a path, after two trainings."""
+    bundle, path = data.fit_bundle(spark, sf_dir, (1,)), scratch_path(spark, "bundle")
+    save_bundle(spark, bundle, path)
+    save_bundle(spark, load_bundle(spark, path), path)
+    return manifest_table(spark, path)
+
+
 @query("l_predicted_counts")
 def predicted_counts(spark, sf_dir):
     train, test = entry_rows(spark, sf_dir)

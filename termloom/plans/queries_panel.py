@@ -8,7 +8,7 @@ from termloom.functions.dates import terms_since
 from termloom.operators import checks
 from termloom.operators.grading import STATUSES, with_grade_status
 from termloom.operators.outcomes import two_way, with_targets
-from termloom.operators.panel import first_term_check, pivot_terms, year_window
+from termloom.operators.panel import first_term_check, pivot_terms, term_list, year_window
 from termloom.operators.rows import union_tables
 from termloom.operators.spread import exploded_copies
 from termloom.operators.vocabulary import joined_lists, learned_only, list_tokens, text_tokens, token_counts, vocabulary
@@ -81,7 +81,6 @@ def out_now(spark, sf_dir):
     return standins.summary(spark, sf_dir).groupBy("trim_unenroll_quant").agg(F.count(F.lit(1)).alias("n"))
 
 
-ORDERS = list(range(1, 17))
 WIDE = ["amount_cents", "program_n", "termid"]
 
 
@@ -89,13 +88,14 @@ WIDE = ["amount_cents", "program_n", "termid"]
     "i_pivot_terms",
     sql.with_(
         sql.PANEL,
-        "SELECT id, "
-        + ", ".join(f"max({a}) FILTER (WHERE trim_order = {n}) AS trim{n:02d}_{a}" for n in ORDERS for a in WIDE)
-        + " FROM panel GROUP BY id",
+        """, named AS (SELECT id, 'trim' || lpad(trim_order::VARCHAR, 2, '0') AS name, amount_cents, program_n, termid FROM panel)
+           SELECT * FROM (PIVOT named ON name USING max(amount_cents) AS amount_cents, max(program_n) AS program_n,
+             max(termid) AS termid GROUP BY id)""",
     ),
 )
 def wide_terms(spark, sf_dir):
-    return pivot_terms(standins.panel(spark, sf_dir), WIDE, ORDERS)
+    panel = checkpointed(standins.panel(spark, sf_dir).select("id", "trim_order", *WIDE))
+    return pivot_terms(panel, WIDE, term_list(panel))
 
 
 @query(

@@ -47,6 +47,22 @@ def csv_round_trip(spark, sf_dir):
     return read_table(spark, path, "csv", customer.schema)
 
 
+@query(
+    "a_csv_cells",
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' || c_name || ' '
+         WHEN 3 THEN c_name || chr(10) || '"a", b' WHEN 4 THEN '   ' ELSE c_name END AS cell FROM customer""",
+)
+def csv_cells(spark, sf_dir):
+    """Empty texts, nulls, blanks at the ends, line breaks and quotes survive a CSV file."""
+    name, kind = F.col("c_name"), F.col("c_custkey") % 6
+    cell = (
+        F.when(kind == 0, "").when(kind == 1, None).when(kind == 2, F.concat(F.lit("  "), name, F.lit(" ")))
+        .when(kind == 3, F.concat(name, F.lit('\n"a", b'))).when(kind == 4, "   ").otherwise(name)
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", cell.alias("cell"))
+    return read_table(spark, write_table(rows, scratch_path(spark, "cells"), "csv"), "csv", rows.schema)
+
+
 @query(
     "a_parquet_round_trip",
     "SELECT o_orderkey, o_custkey, year(o_orderdate) AS year, o_orderstatus FROM orders",

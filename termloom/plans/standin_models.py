@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import clean
-from termloom.operators.cascade import Stage
+from termloom.operators.cascade import Stage, fit_cascade
 from termloom.operators.encode import condition_code, sex_code
 from termloom.operators.outcomes import two_way, with_targets
 from termloom.operators.panel import year_window
 from termloom.operators.rows import split_population
+from termloom.plans.bundle import Bundle, Recipe, load_bundle, schema_hash, score_stored
 from termloom.plans.standin_mart import labelled
 from termloom.plans.training import entry_table, year_feature_names, year_table
 from termloom.session import checkpointed
@@ -22,6 +23,8 @@ ENTRY_FEATURES = [*NUMERIC, *[f"{c}_code" for c in CATEGORIES]]
 TARGETS = ["y_two", "y_m1", "y_m2", "y_m3", "y_m4"]
 ATTRIBUTES = ["amount", "n_orders", "gap", "course_quant", "credits_total"]
 COMPONENTS = 125
+RECIPE = Recipe(NUMERIC, CATEGORIES, ATTRIBUTES, "cond_code", COMPONENTS)
+PARAMS = {"minInstancesPerNode": 5, "maxDepth": 6}
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +93,40 @@ def cascade_data(spark: SparkSession, sf_dir: str, balanced: bool = False, max_i
     final, still_open = closed_and_open(rows)
     entry, _ = entry_table(rows, NUMERIC, CATEGORIES, TARGETS)
     entry = checkpointed(entry)
-    params = {"minInstancesPerNode": 5, "maxDepth": 6}
-    stages = [Stage("year1", ENTRY_FEATURES, "y_m1", balanced=balanced, params=params)]
+    stages = [Stage("year1", ENTRY_FEATURES, "y_m1", balanced=balanced, params=PARAMS)]
     tables = [entry]
     for n, (table, fitted) in zip([y + 1 for y in year_nos], year_tables):
         names = year_feature_names(n - 1, ATTRIBUTES, "cond_code", fitted)
-        stages.append(Stage(f"year{n}", names, f"y_m{n}", balanced=balanced, params=params))
+        stages.append(Stage(f"year{n}", names, f"y_m{n}", balanced=balanced, params=PARAMS))
         tables.append(table.join(rows.select("id", *TARGETS), "id", "left"))
     train = [t.join(final.select("id"), "id", "left_semi") for t in tables]
     active = [t.join(still_open.select("id"), "id", "left_semi") for t in tables]
     return rows, stages, train, active, still_open
+
+
+def fit_bundle(spark: SparkSession, sf_dir: str, year_nos=(1, 2), max_iter: int = 100) -> Bundle:
+    """Everything that is fitted, on the closed entities alone, ready to be stored."""
+    closed, _ = closed_and_open(people(spark, sf_dir))
+    panel = checkpointed(model_panel(spark, sf_dir).join(closed.select("id"), "id", "left_semi"))
+    entry, encoders = entry_table(closed, NUMERIC, CATEGORIES, TARGETS)
+    stages, tables, fitted = [Stage("year1", ENTRY_FEATURES, "y_m1", params=PARAMS)], [checkpointed(entry)], []
+    hashes = {"entities": schema_hash(closed, RECIPE.inputs()["entities"]), "panel": schema_hash(panel, RECIPE.inputs()["panel"])}
+    for n in year_nos:
+        courses = checkpointed(year_courses(spark, sf_dir, panel, n))
+        hashes["courses"] = schema_hash(courses, RECIPE.inputs()["courses"])
+        table, learned = year_table(panel, courses, n, ATTRIBUTES, RECIPE.condition, COMPONENTS, max_iter=max_iter)
+        names = year_feature_names(n, ATTRIBUTES, RECIPE.condition, learned)
+        stages.append(Stage(f"year{n + 1}", names, f"y_m{n + 1}", params=PARAMS))
+        tables.append(checkpointed(table).join(closed.select("id", *TARGETS), "id", "left"))
+        fitted.append((n, learned))
+    models, _ = fit_cascade(stages, tables)
+    return Bundle(RECIPE, stages, models, encoders, fitted, hashes)
+
+
+def score_open(spark: SparkSession, sf_dir: str, path: str, keep=("age_in", "program_in", "year_in", "trim_in", "sex")) -> DataFrame:
+    """The open entities scored by the newest bundle under ``path``; nothing is fitted here."""
+    bundle = load_bundle(spark, path)
+    _, still_open = closed_and_open(people(spark, sf_dir))
+    panel = checkpointed(model_panel(spark, sf_dir).join(still_open.select("id"), "id", "left_semi"))
+    courses = {n: checkpointed(year_courses(spark, sf_dir, panel, n)) for n, _ in bundle.years}
+    return score_stored(bundle, still_open, panel, courses, [c for c in keep if c != "id"])

@@ -3,15 +3,21 @@ conditions and course components."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from termloom.operators import models
+from termloom.operators.balance import oversample
 from termloom.operators.components import CountComponents, fit_count_components
 from termloom.operators.encode import encode_labels, fit_labels
 from termloom.operators.impute import Chain, fit_class_chain
 from termloom.operators.panel import pivot_terms, year_window
+from termloom.operators.search import search_adaptive
 from termloom.session import checkpointed
 
 
@@ -93,3 +99,51 @@ def year_feature_names(year_no: int, attributes: Sequence[str], condition: str,
     return [
         *term_names(year_no, attributes), *condition_names(year_no, condition), *fitted.components.names()
     ]
+
+
+@dataclass
+class Searched:
+    """What a search job gives: the stored model, its settings, all trials and the held-out metrics."""
+
+    path: str
+    params: dict
+    trials: list[dict]
+    model: PipelineModel
+    metrics: DataFrame
+
+    def row(self) -> DataFrame:
+        """One row: how many points were tried, the best one, its score in the search and on held-out rows."""
+        score = max(t["mean_test_score"] for t in self.trials)
+        return self.metrics.select(
+            F.lit(len(self.trials)).cast("long").alias("n_trials"), F.lit(json.dumps(self.params, sort_keys=True)).alias("params"),
+            F.lit(float(score)).alias("mean_test_score"), "*",
+        )
+
+
+def search_fit_store(
+    train: DataFrame, test: DataFrame, features: Sequence[str], label: str, path: str, kind: str = "tree",
+    balanced: bool = False, key: str = "id", space: Mapping[str, Sequence] | None = None,
+    n_iter: int = 150, folds: int | None = None, seed: int = 42, parallelism: int = 8,
+) -> Searched:
+    """One job: search the settings on the training rows, fit the best, store it, load it, and judge it on ``test``.
+
+    Trees are searched adaptively over the grid, forests by successive halving; ``balanced`` raises the smaller classes first.
+    """
+    fitted_on = checkpointed(train.select(key, label, *features))
+    if balanced:
+        fitted_on = checkpointed(oversample(fitted_on, label, features, key, seed=seed))
+    if kind == "tree":
+        trials = search_adaptive(
+            fitted_on, features, label, kind, [key], space or models.TREE_GRID, n_iter, folds or 2, seed, parallelism
+        )
+        last = trials
+    else:
+        trials = models.search_forest(
+            fitted_on, features, label, [key], space or models.FOREST_GRID, folds=folds or 7, seed=seed, parallelism=parallelism
+        )
+        last = models.final_round(trials)
+    params = models.best_params(last)
+    models.save_model(models.fit_classifier(fitted_on, features, label, kind, seed, **params), path)
+    stored = models.load_model(path)
+    metrics = models.evaluate(models.score(stored, test, "_pred", "_prob"), label, "_pred")
+    return Searched(path, params, last, stored, metrics)

@@ -51,10 +51,16 @@ SCHEMAS: Mapping[str, str] = {
 }
 
 
+#: What no CSV field holds: null stands for it alone.
+NO_TEXT = "\x00"
+BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
     """One dataset. CSV needs a schema: types are stated, not guessed from a pass over the data.
 
-    Quoted CSV values may hold line breaks and doubled quotes; a malformed row is an error.
+    Quoted CSV values may hold line breaks, doubled quotes and blanks at their ends; a malformed row is an error.
+    An empty field is null, and an empty one in quotes is an empty text.
     NaN in a column of floating numbers is read as missing.
     """
     return nan_as_null(_read(spark, path, fmt, schema))
@@ -71,7 +77,8 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str |
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV dataset needs a schema")
-        return reader.csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST")
+        # with another sign for null than nothing, what stands in quotes stays a text
+        return reader.csv(path, header=True, multiLine=True, escape='"', mode="FAILFAST", nullValue=NO_TEXT, emptyValue="", **BLANKS)
     return reader.format(fmt).load(path)
 
 
@@ -91,7 +98,7 @@ def write_table(
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         writer = writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        writer.csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        writer.csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", **BLANKS)
     else:
         writer.format(fmt).save(path)
     return path

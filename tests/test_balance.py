@@ -34,6 +34,19 @@ def test_neighbours_are_exact(spark, shape):
         assert np.allclose([n["dist"] for n in got[i]], [d for d, _ in expected])
 
 
+def test_visits_stay_few_where_there_is_structure(spark):
+    rng = np.random.default_rng(6)
+    clustered = np.concatenate([rng.normal(c * 10, 0.3, (40, 3)) for c in range(20)])
+    even = rng.normal(size=(400, 24))  # nothing to rule out: every row may visit every block
+    counts = {}
+    for name, vectors in (("clustered", clustered), ("even", even)):
+        visits: list[int] = []
+        got = {r["key"]: r["neighbours"] for r in nearest_neighbours(frame(spark, vectors), "key", "vec", 4, block=20, visits=visits).collect()}
+        assert all([n["key"] for n in got[i]] == [j for _, j in e] for i, e in enumerate(brute(vectors, 4)))
+        counts[name] = sum(visits) / len(vectors) / (len(vectors) / 20)  # share of all blocks a row compares with
+    assert counts["clustered"] < 0.2 and counts["even"] <= 2.5, counts
+
+
 def test_one_row_has_no_neighbours(spark):
     got = nearest_neighbours(frame(spark, np.ones((1, 2))), "key", "vec", 3).collect()
     assert got[0]["neighbours"] == []

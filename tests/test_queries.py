@@ -9,7 +9,10 @@ from tools.check_oracles import compare, rows_of
 
 ORACLES = entry.oracle_sql()
 REST = sorted(set(entry.queries()) - set(ORACLES))
-LONG = {"l_cascade", "l_score_active", "l_feature_sets"}  # covered by test_models on one run
+LONG = {
+    "l_cascade", "l_score_active", "l_feature_sets",  # covered by test_models on one run
+    "l_tree_search", "l_forest_search", "l_search_fit", "l_bundle_manifest",  # by test_search and test_bundle
+}
 
 
 @pytest.fixture(scope="module")
