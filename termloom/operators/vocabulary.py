@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
-
-SALTS = 16
+from termloom.operators.spread import left_join_spread
 
 
 def joined_lists(df: DataFrame, lists: Sequence[str], name: str) -> DataFrame:
@@ -43,12 +42,16 @@ def token_counts(exploded: DataFrame, key: str) -> DataFrame:
     return exploded.filter(F.col("token") != "").groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def learned_from(counts: DataFrame, learn: Column) -> DataFrame:
+    """The tokens of the rows that ``learn`` names, from counts of all rows: both are one shuffle of the counts."""
+    return counts.groupBy("token").agg(F.max(learn).alias("_learned")).filter("_learned").select("token")
+
+
 def learned_only(counts: DataFrame, learned: DataFrame) -> DataFrame:
     """Counts of the tokens of a learned vocabulary.
 
-    Joined after counting, with one row per key and token. A common word has a row for each
-    key, so its rows are dealt over ``SALTS`` tasks and the vocabulary is repeated for each.
+    Joined after counting, with one row per key and token. A common word has a row for each key; how many is
+    found by a summary of frequent tokens, and just those are split and their word repeated.
     """
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*counts.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(learned.select("token", salt), ["token", "_salt"], "left_semi").select(*counts.columns)
+    known = learned.select("token", F.lit(True).alias("_known"))
+    return left_join_spread(counts, known, ["token"], counts.columns).filter("_known").drop("_known")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termloom.functions import codes as fixed
 from termloom.functions import dates, text
 from termloom.functions.conditions import first_known, first_match, mapped
 from termloom.operators import cleaning
@@ -11,6 +12,7 @@ from termloom.operators.grading import STATUSES, with_grade_status
 from termloom.operators.outcomes import changed_since_entry, graduated, sponsor_checks
 from termloom.operators.rows import flag_repeated, null_outside, override_cells
 from termloom.plans import sql
+from termloom.plans.mart import modelling_rows
 from termloom.plans.registry import query
 from termloom.sources import standins
 from termloom.sources.standins import table
@@ -300,6 +302,56 @@ def place_clean(spark, sf_dir):
     return cleaning.clean_places(people).select("id", "birth_city", "birth_country", "nationality")
 
 
+@query(
+    "k_city_map",
+    """SELECT c_custkey AS id, CASE WHEN n_regionkey < 3 THEN lower(r_name) ELSE lower(n_name) END AS birth_city,
+         NULL::VARCHAR AS birth_country, NULL::VARCHAR AS nationality
+       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def city_map(spark, sf_dir):
+    """Cleaned places are put through an outside map; those that it does not know stay."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    known = places.filter("n_regionkey < 3").select(F.lower("n_name").alias("raw"), F.lower("r_name").alias("clean"))
+    people = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("  "), "n_name", F.lit(", "), "c_mktsegment").alias("birth_city"),
+        F.lit(None).cast("string").alias("birth_country"), F.lit(None).cast("string").alias("nationality"),
+    )
+    return cleaning.clean_places(people, city_map=known).select("id", "birth_city", "birth_country", "nationality")
+
+
+@query(
+    "k_modelling_rows",
+    sql.with_(
+        sql.SUMMARY + ", " + sql.REGISTRY,
+        """SELECT r.id FROM registry r LEFT JOIN summary s ON r.id = s.id
+            WHERE r.admin_type IS DISTINCT FROM 'BUILDING' AND r.program_in IS DISTINCT FROM 'FRANCE' AND s.last_program_n IS DISTINCT FROM '5-LOW'
+              AND r.sex IS NOT NULL AND r.id NOT IN (SELECT id FROM panel WHERE
+                (trim_order BETWEEN 2 AND 4 AND program = '1-URGENT' AND amount_cents % 3 = 0)
+                OR (trim_order = 2 AND program_n = '2-HIGH' AND amount_cents % 5 = 0))""",
+    ),
+)
+def rows_for_models(spark, sf_dir):
+    """Who is modelled: excluded admissions, programmes and early terms are out, unknown ones stay, the sex is known."""
+    out = {"BUILDING": fixed.EXCLUDED_ADMISSIONS[0], "FRANCE": fixed.EXCLUDED_PROGRAMMES[0], "5-LOW": fixed.EXCLUDED_TERM_PROGRAMMES[0]}
+
+    def excluded(column: str, value: str):
+        return F.when(F.col(column) == value, out[value]).otherwise(F.col(column))
+
+    people = standins.registry(spark, sf_dir).join(standins.summary(spark, sf_dir).select("id", "last_program_n"), "id", "left")
+    entities = people.select(
+        "id", "sex", excluded("admin_type", "BUILDING").alias("admin_type"), excluded("program_in", "FRANCE").alias("program_in"),
+        excluded("last_program_n", "5-LOW").alias("last_program"),
+    )
+    cents = F.col("amount_cents")
+    panel = standins.panel(spark, sf_dir).select(
+        "id", "trim_order",
+        F.when((F.col("program") == "1-URGENT") & (cents % 3 == 0), out["5-LOW"]).otherwise(F.col("program")).alias("program"),
+        F.when((F.col("program_n") == "2-HIGH") & (cents % 5 == 0), fixed.EXCLUDED_PROGRAMME_NAME).otherwise(F.col("program_n")).alias("program_name"),
+    )
+    return modelling_rows(entities, panel=panel).select("id")
+
+
 @query(
     "k_flags",
     sql.with_(

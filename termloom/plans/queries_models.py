@@ -16,13 +16,13 @@ from termloom.functions.text import clean
 from termloom.operators import balance, models, resample
 from termloom.operators.cascade import delivery, fit_cascade
 from termloom.operators.components import (
-    Components, explained_table, fit_components, fit_count_components,
+    TOLERANCE, Components, explained_table, fit_components, fit_count_components,
 )
 from termloom.operators.encode import area_code, condition_code, encode_labels, fit_labels, sex_code
 from termloom.operators.impute import Chain, fit_class_chain, fit_linear_chain
 from termloom.operators.panel import pivot_terms, year_window
 from termloom.operators.search import search_adaptive
-from termloom.operators.summaries import histogram, value_counts
+from termloom.operators.summaries import density, histogram, value_counts
 from termloom.plans import sql, standin_models as data
 from termloom.plans.bundle import load_bundle, manifest_table, save_bundle
 from termloom.plans.registry import query
@@ -31,7 +31,8 @@ from termloom.session import checkpointed, scratch_path
 from termloom.sources import standins
 from termloom.sources.standins import table
 
-TREE = {"maxDepth": 6, "minInstancesPerNode": 5}
+TREE = {"maxDepth": models.DEEPEST, "minInstancesPerNode": 5}
+FOREST = {k: v[0] for k, v in models.FOREST_GRID.items()}
 
 
 @query(
@@ -255,6 +256,28 @@ def course_components(spark, sf_dir):
     return fitted.transform(keys, counts)
 
 
+@query(
+    "l_components_report",
+    sql.with_(
+        sql.PANEL + ", " + sql.ENROLMENT.replace(sql.ORD + ", ", ""),
+        f"""SELECT least({data.COMPONENTS}, count(DISTINCT clave)) AS n_components, 0::BIGINT AS n_not_converged, 0::BIGINT AS n_rising,
+              true AS is_share FROM enrolment JOIN quant USING (id, year, trim) WHERE trim_order <= 4 AND trim_quant >= 4""",
+    ),
+)
+def components_report(spark, sf_dir):
+    """How many components there are, how many are beyond the tolerance, and whether their shares of the variance fall."""
+    panel = checkpointed(standins.panel_with_quant(spark, sf_dir))
+    counts = checkpointed(data.year_courses(spark, sf_dir, panel, 1))
+    fitted = fit_count_components(year_window(panel, 1).select("id").distinct(), counts, data.COMPONENTS)
+    rows = [(i, e, r, (fitted.explained[i - 1] if i else 1.0)) for i, (e, r) in enumerate(zip(fitted.explained, fitted.residuals))]
+    table_ = spark.createDataFrame(rows, "component int, explained double, residual double, before double")
+    return table_.agg(
+        F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("residual") > TOLERANCE).alias("n_not_converged"),
+        F.count_if(F.col("explained") > F.col("before") + 1e-12).alias("n_rising"),
+        ((F.sum("explained") > 0) & (F.sum("explained") <= 1 + 1e-9)).alias("is_share"),
+    )
+
+
 def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
@@ -461,9 +484,7 @@ def tree(spark, sf_dir):
 @query("l_forest")
 def forest(spark, sf_dir):
     train, test = entry_rows(spark, sf_dir)
-    model = models.fit_classifier(
-        train, data.ENTRY_FEATURES, "y_two", "forest", numTrees=20, featureSubsetStrategy="0.35", **TREE
-    )
+    model = models.fit_classifier(train, data.ENTRY_FEATURES, "y_two", "forest", **FOREST)
     return models.score(model, test, "pred", "prob").select("id", "y_two", "pred", "prob")
 
 
@@ -585,6 +606,14 @@ def score_distribution(spark, sf_dir):
     return histogram(models.score(model, test, "pred", "prob"), "prob", 20)
 
 
+@query("l_score_density")
+def score_density(spark, sf_dir):
+    """The smoothed curve over the distribution of the risk."""
+    train, test = entry_rows(spark, sf_dir)
+    model = models.fit_classifier(train, data.ENTRY_FEATURES, "y_two", "tree", **TREE)
+    return density(models.score(model, test, "pred", "prob"), "prob")
+
+
 @query("l_importance")
 def importance(spark, sf_dir):
     train, _ = entry_rows(spark, sf_dir)

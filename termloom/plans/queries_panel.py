@@ -11,7 +11,7 @@ from termloom.operators.outcomes import two_way, with_targets
 from termloom.operators.panel import first_term_check, pivot_terms, term_list, year_window
 from termloom.operators.rows import union_tables
 from termloom.operators.spread import exploded_copies
-from termloom.operators.vocabulary import joined_lists, learned_only, list_tokens, text_tokens, token_counts, vocabulary
+from termloom.operators.vocabulary import joined_lists, learned_from, learned_only, list_tokens, text_tokens, token_counts, vocabulary
 from termloom.plans import sql
 from termloom.plans.mart import build_mart
 from termloom.plans.registry import query
@@ -192,8 +192,8 @@ TOKENS = r"""tok AS (SELECT doc_id, token FROM (
 )
 def document_tokens(spark, sf_dir):
     rows = text_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
-    counts = checkpointed(token_counts(rows, "doc_id"))  # the texts are split once
-    return learned_only(counts, vocabulary(counts.filter("doc_id % 4 <> 0")))
+    counts = token_counts(rows, "doc_id")
+    return learned_only(counts, learned_from(counts, F.col("doc_id") % 4 != 0))
 
 
 @query(

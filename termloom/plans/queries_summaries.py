@@ -488,3 +488,18 @@ def null_counts_nan(spark, sf_dir):
 )
 def histogram_nan(spark, sf_dir):
     return summaries.histogram(with_nan(spark, sf_dir), "v", 20).select("bin", "n")
+
+
+@query(
+    "e_density",
+    """WITH v AS (SELECT CAST(o_totalprice AS DOUBLE) / 1000 AS v FROM orders),
+         g AS (SELECT count(*) AS n, stddev_samp(v) * count(*) ** -0.2 AS h, min(v) AS lo, max(v) AS hi FROM v),
+         d AS (SELECT n, h, lo - 3 * h AS start, (hi - lo + 6 * h) / 199 AS step FROM g),
+         p AS (SELECT (v - start) / step AS place, least(floor((v - start) / step), 198) AS i FROM v, d),
+         b AS (SELECT i, sum(w) AS w FROM (SELECT i, 1 - (place - i) AS w FROM p UNION ALL SELECT i + 1, place - i FROM p) GROUP BY i)
+       SELECT start + j * step AS x, sum(w * exp(-0.5 * ((j - i) * step / h) ** 2)) / (max(n) * max(h) * sqrt(2 * pi())) AS density
+       FROM b, d, (SELECT unnest(range(200)) AS j) GROUP BY j, start, step""",
+)
+def density_curve(spark, sf_dir):
+    """The curve a density chart shows, of order prices in thousands."""
+    return summaries.density(table(spark, sf_dir, "orders").select((F.col("o_totalprice").cast("double") / 1000).alias("v")), "v")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import clean
 from termloom.operators.cascade import Stage, fit_cascade
 from termloom.operators.encode import condition_code, sex_code
+from termloom.operators.models import DEEPEST
 from termloom.operators.outcomes import two_way, with_targets
 from termloom.operators.panel import year_window
 from termloom.operators.rows import split_population
@@ -24,7 +25,7 @@ TARGETS = ["y_two", "y_m1", "y_m2", "y_m3", "y_m4"]
 ATTRIBUTES = ["amount", "n_orders", "gap", "course_quant", "credits_total"]
 COMPONENTS = 125
 RECIPE = Recipe(NUMERIC, CATEGORIES, ATTRIBUTES, "cond_code", COMPONENTS)
-PARAMS = {"minInstancesPerNode": 5, "maxDepth": 6}
+PARAMS = {"minInstancesPerNode": 5, "maxDepth": DEEPEST}
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,5 +60,70 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table a job writes and reads back."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder for a table a job writes and reads back. It belongs to the innermost open scope."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].hold(path)
+    return path
+
+
+class Scope:
+    """The tables of a job. A table may have several holders, and goes when the last one lets go of it."""
+
+    holders: Counter[str] = Counter()
+
+    def __init__(self, spark: SparkSession, outer: Scope | None):
+        self.spark, self.outer, self.paths = spark, outer, set()
+
+    def hold(self, path: str) -> None:
+        if path not in self.paths:
+            self.paths.add(path)
+            Scope.holders[path] += 1
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` outlives this scope: its tables pass to the scope around it, or to nobody if there is none."""
+        read = {self._top(f) for f in df.inputFiles()}
+        for path in [p for p in self.paths if self._top(p) in read]:
+            if self.outer is not None:
+                self.outer.hold(path)
+                self._drop(path)
+            else:
+                self.paths.discard(path)
+                del Scope.holders[path]
+        return df
+
+    def _top(self, path: str) -> str:
+        """The scratch table's own name in a path of one of its files."""
+        root = re.sub(r"^\w+:/*", "/", checkpoint_dir(self.spark)).rstrip("/")
+        return re.sub(r"^\w+:/*", "/", path).removeprefix(root).lstrip("/").partition("/")[0]
+
+    def _drop(self, path: str) -> None:
+        self.paths.discard(path)
+        Scope.holders[path] -= 1
+        if Scope.holders[path] <= 0:
+            del Scope.holders[path]
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def close(self) -> None:
+        for path in list(self.paths):
+            self._drop(path)
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def job_scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables written inside are removed at the end, also after an error.
+
+    What is returned must be written or collected inside, or passed to ``keep``. Scopes may be nested: a table then
+    goes with the innermost scope it was written in. Without any scope nothing is removed, as before.
+    """
+    scope = Scope(spark, _scopes[-1] if _scopes else None)
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        scope.close()

@@ -61,13 +61,36 @@ def test_more_tokens_than_the_basis_has_columns(spark):
     matrix = rng.poisson(rates)
     cells = [(i, f"t{j}", int(n)) for (i, j), n in np.ndenumerate(matrix) if n]
     keys = spark.range(80)
-    fitted = fit_count_components(keys, spark.createDataFrame(cells, "id long, token string, n long"), 3, tol=1e-9, rounds=12)
+    fitted = fit_count_components(keys, spark.createDataFrame(cells, "id long, token string, n long"), 3, tol=1e-6, rounds=12)
     s = np.linalg.svd(matrix - matrix.mean(axis=0), compute_uv=False)
     assert np.allclose(fitted.explained, (s**2 / (s**2).sum())[:3], rtol=1e-3)
     nothing = fit_count_components(keys, spark.createDataFrame([], "id long, token string, n long"), 3)
     assert nothing.names() == []
 
 
+def test_components_on_a_slowly_falling_spectrum(spark):
+    rng = np.random.default_rng(7)
+    rates = sum(np.outer(rng.random(150), rng.random(110)) * 3 / (1 + 0.15 * i) for i in range(30))
+    matrix = rng.poisson(rates / 6)
+    cells = [(i, f"t{j}", int(n)) for (i, j), n in np.ndenumerate(matrix) if n]
+    counts = spark.createDataFrame(cells, "id long, token string, n long")
+    off = matrix - matrix.mean(axis=0)
+    s = np.linalg.svd(off, compute_uv=False) ** 2
+    for blocks in (4, 2):  # without and with starting again
+        fitted = fit_count_components(spark.range(150), counts, 4, extra=4, rounds=30, tol=1e-4, blocks=blocks, strict=True)
+        assert fitted.converged and max(fitted.residuals) <= 1e-4
+        assert np.allclose(fitted.explained, (s / s.sum())[:4], rtol=1e-6)
+        loads = {r["token"]: r["weights"] for r in fitted.loadings.collect()}
+        v = np.array([loads.get(f"t{j}", [0.0] * 4) for j in range(110)])
+        c = off.T @ off / 149
+        found = np.linalg.norm(c @ v - v * (s[:4] / 149), axis=0) / (s[0] / 149)
+        assert found.max() < 3e-4  # the residuals it reports are real
+    short = fit_count_components(spark.range(150), counts, 4, extra=4, rounds=1)
+    assert not short.converged and max(short.residuals) > 1e-3
+    with pytest.raises(RuntimeError, match="not converged"):
+        fit_count_components(spark.range(150), counts, 4, extra=4, rounds=1, strict=True)
+
+
 def test_encoder_gives_unseen_and_null_the_next_code(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "id long, v string")
     table = fit_labels(df, "v")
