@@ -131,10 +131,12 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> tuple[bytes, float]:
-    """Train on rows of ``labels`` for which ``learn`` holds."""
+    """Train on rows of ``labels`` for which ``learn`` holds: at most ``sample`` rows, one for each id (the least text
+    if rows of an id differ)."""
     ids = chosen(labels, label, learn, sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(
-        F.coalesce("text", F.lit("")).alias("text"), "label"
+    rows = (
+        docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+        .groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label")  # one row an id
     )
     model = rows.repartition(1).mapInPandas(_fit, "scores binary, bias double").first()
     if model is None:
