@@ -17,7 +17,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -312,7 +314,9 @@ def spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]
     out = []
     for text, more in zip(texts, field_spans(texts, field)):
         base = base_spans(text)
-        own = [x for x in more if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+        # a span meets one that begins before its end if the furthest end of those is behind its start
+        starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+        own = [x for x in more if not (n := bisect_left(starts, x[2])) or reach[n - 1] <= x[0]]
         out.append((base, sorted(base + own)))
     return out
 
