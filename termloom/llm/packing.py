@@ -35,6 +35,8 @@ ship(__name__)
 CAPACITY = 4096
 END_ID = 1
 BUCKET_ROWS = 1000
+#: The number of a piece's row.
+ROW = "_row"
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 300_000
 #: Characters that a worker encodes together.
@@ -267,28 +269,28 @@ def _placed(where: pd.DataFrame):
 def ranked(parts: DataFrame, counts: dict[int, int], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``rank``, from 0 within each length; ``parts`` is a written table, ``counts`` its lengths.
 
-    A length has one bucket for every ``bucket_rows`` of its pieces, so tasks stay even at any size.
+    ``parts`` has a number for each row, so that repeated rows are dealt out like others. A length has one bucket for every ``bucket_rows`` of its pieces, so tasks stay even at any size.
     """
     spark = parts.sparkSession
     # at most ``capacity`` rows
     widths = spark.createDataFrame([(n, -(-c // bucket_rows)) for n, c in counts.items()], "length long, _n long")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_n"))
+    bucket = F.pmod(F.xxhash64(ROW), F.col("_n"))
     dealt = parts.join(F.broadcast(widths), "length").withColumn("_b", bucket).drop("_n")
     sizes = dealt.groupBy("length", "_b").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "_b").orderBy(ROW)
     return (
         dealt.withColumn("_i", F.row_number().over(inside) - 1)
         .join(starts, ["length", "_b"])
         .withColumn("rank", F.col("_from") + F.col("_i"))
-        .drop("_b", "_i", "_from")
+        .drop("_b", "_i", "_from", ROW)
     )
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces."""
-    parts = checkpointed(pieces(docs, tokenizer, capacity, end_id))
+    parts = checkpointed(pieces(docs, tokenizer, capacity, end_id).withColumn(ROW, F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most ``capacity`` rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]

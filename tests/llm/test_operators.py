@@ -479,12 +479,44 @@ def test_plan_uses_exact_complements():
 
 
 def test_ranks_in_small_buckets(spark):
-    parts = spark.createDataFrame([(i, 0, 0, 5 if i % 3 else 7, i) for i in range(200)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = [(i if i < 100 else 1, 0, 0, 5 if i % 3 else 7, 9, i) for i in range(200)]  # half of them repeated
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, _row long")
     got = packing.ranked(parts, {5: 133, 7: 67}, bucket_rows=10).collect()
+    assert "_row" not in got[0]
     for length, n in ((5, 133), (7, 67)):
         assert sorted(r["rank"] for r in got if r.length == length) == list(range(n))
 
 
+def test_own_spans_meet_no_base_span():
+    field = pii.Field.__new__(pii.Field)
+    order = np.random.default_rng(2)
+    for _ in range(300):
+        base = [(int(s), int(k), int(s + n)) for s, k, n in zip(order.integers(0, 60, 9), order.integers(0, 4, 9), order.integers(1, 9, 9))]
+        more = [(int(s), 5, int(s + n)) for s, n in zip(order.integers(0, 70, 9), order.integers(1, 6, 9))]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pii, "field_spans", lambda texts, f: [more])
+            m.setattr(pii, "base_spans", lambda text: sorted(base))
+            (_, got), = pii.spans(["x"], field)
+        assert got == sorted(base + [x for x in more if not any(x[0] < b[2] and b[0] < x[2] for b in base)])
+
+
+def test_prefix_shingles_alone_are_joined(spark):
+    """The second pass sees the rarest shingle of each window, not all of them."""
+    common = "one two three four five six seven"
+    texts = [f"{common} {i} x{i} y{i} z{i}" for i in range(200)] + [f"{common} rare word here at the end"] * 3
+    bench = spark.createDataFrame([(1, f"{common} rare word here at the end")], "item_id long, text string")
+    docs = docs_of(spark, texts)
+    parts = decontaminate.window_shingles(decontaminate.item_windows(bench))
+    every = decontaminate.hits(docs, parts.select("h").distinct(), [5])
+    counted = every.groupBy("h").agg(decontaminate.F.count("*").alias("found"))
+    prefix = decontaminate.anchors(parts, counted)
+    assert prefix.count() == 3 and {r.found for r in prefix.collect()} == {3}
+    joined = decontaminate.hits(docs, prefix.select("h").distinct(), [5], 10).join(prefix, "h").count()
+    assert joined == 3 * 3 and every.count() >= 200 * 3 + 3 * 8
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.marked(docs, bench).collect()}
+    assert all(got[i] == (0, []) for i in range(200)) and all(got[i] == (12, ["1"]) for i in range(200, 203))
+
+
 def test_digest_of_spans():
     assert pii.written([(3, 0, 9), (3, 3, 5)]) == "email:3:9,phone:3:5"
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(pii.written([]).encode()).hexdigest()
