@@ -510,11 +510,11 @@ def test_prefix_shingles_alone_are_joined(spark):
     every = decontaminate.hits(docs, parts.select("h").distinct(), [5])
     counted = every.groupBy("h").agg(decontaminate.F.count("*").alias("found"))
     prefix = decontaminate.anchors(parts, counted)
-    assert prefix.count() == 3 and {r.found for r in prefix.collect()} == {3}
+    assert prefix.count() == 4 and {r.found for r in prefix.collect()} == {3}
     joined = decontaminate.hits(docs, prefix.select("h").distinct(), [5], 10).join(prefix, "h").count()
-    assert joined == 3 * 3 and every.count() >= 200 * 3 + 3 * 8
+    assert joined == 3 * 4 and every.count() >= 200 * 3 + 3 * 9
     got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.marked(docs, bench).collect()}
-    assert all(got[i] == (0, []) for i in range(200)) and all(got[i] == (12, ["1"]) for i in range(200, 203))
+    assert all(got[i] == (0, []) for i in range(200)) and all(got[i] == (13, ["1"]) for i in range(200, 203))
 
 
 def test_digest_of_spans():
