@@ -4,9 +4,12 @@ that the joins are those of large tables."""
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from termloom.operators import summaries
 from termloom.plans.registry import QUERIES
+from termloom.session import checkpointed
 
 FITTED = {n for n in entry.queries() if n.startswith("l_")} - {
     "l_append_prob", "l_confusion", "l_course_counts", "l_evaluate", "l_ordinal", "l_sex_binary", "l_label_encode",
@@ -60,7 +63,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     read = re.search(r"ReadSchema: struct<([^>]*)", plan).group(1)
     assert "o_orderdate" not in read
     rollup = plan_of(spark, sf_dir, "e_describe_by")
-    assert all(r.count(":") == 2 for r in re.findall(r"ReadSchema: struct<([^>]*)", rollup))
+    given = [r for r in re.findall(r"ReadSchema: struct<([^>]*)", rollup) if r.startswith("l_")]
+    assert given and all(r.count(":") == 2 for r in given)
 
 
 def test_windows_share_one_shuffle(spark, sf_dir, large_tables):
@@ -69,13 +73,22 @@ def test_windows_share_one_shuffle(spark, sf_dir, large_tables):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
-def test_quantiles_read_the_data_once(spark, sf_dir):
-    df = entry.queries()["e_box_summary"](spark, sf_dir)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    # once for the quantiles, once for counting what lies outside the fences
-    assert plan.count("FileScan") == 2
-    assert "ReusedExchange" in plan
+def test_quantiles_scan_twice_and_shuffle_no_values(spark, sf_dir, large_tables):
+    """One scan for the sketches, one for the counts; only what brackets hold is shuffled by value."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("g"), F.col("l_extendedprice").cast("double").alias("_v")
+    )
+    brackets = summaries._brackets(rows, ["g"], [0.25, 0.5], False)
+    plan = brackets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "kll_sketch_agg_double" in plan
+    assert re.findall(r"hashpartitioning\((\w+)#\d+, ", plan) == ["g"]
+    counts = summaries._collapsed(rows, checkpointed(brackets), ["g"], 2)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<l_", plan)) == 1
+    many = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 100_000).cast("double").alias("_v"))
+    counts = summaries._collapsed(many, checkpointed(summaries._brackets(many, ["g"], [0.25, 0.5], False)), ["g"], 2)
+    kept = counts.filter("_gap = 0").agg(F.sum("_n")).first()[0]
+    assert kept < 0.1 * 60_000 and counts.filter("_gap = 1").count() <= 3 * 3  # the others are a few rows of a group
 
 
 def test_lists_are_counted_before_they_are_collected(spark, sf_dir, large_tables):
