@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import NON_WORD_RUN, ascii_lower, row_key, split_words, text_of
+from termloom.operators.spread import BROADCAST_BYTES, table_bytes
 from termloom.session import checkpointed
 
 WIDTH = 10
@@ -178,9 +179,13 @@ def marked(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
-    """The documents without any window of the benchmark; columns as before."""
+    """The documents without any window of the benchmark; columns as before.
+
+    The keys of the others are written and measured: up to ``BROADCAST_BYTES`` they are broadcast, and no text is shuffled.
+    """
     columns = docs.columns
-    bad = contaminated(docs, benchmark, **how).select(F.col("row").alias("_llm_row"))
+    bad = checkpointed(contaminated(docs, benchmark, **how).select(F.col("row").alias("_llm_row")))
+    bad = F.broadcast(bad) if table_bytes(bad) <= BROADCAST_BYTES else bad
     return (
         docs.withColumn("_llm_row", row_key("doc_id", "text")).join(bad, "_llm_row", "left_anti").select(*columns)
     )
