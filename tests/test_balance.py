@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.operators import neighbours, resample
 from termloom.operators.balance import METHODS, class_distribution, oversample, train_test
 from termloom.operators.neighbours import nearest_neighbours, neighbour_slots
 from tests.conftest import collect
@@ -47,6 +48,41 @@ def test_visits_stay_few_where_there_is_structure(spark):
     assert counts["clustered"] < 0.2 and counts["even"] <= 2.5, counts
 
 
+def test_small_blocks_are_taken_together(spark, monkeypatch):
+    """Blocks of ten rows: one comparison for a batch of them, the same neighbours."""
+    calls = spark.sparkContext.accumulator(0)
+    nearest = neighbours._nearest
+
+    def counted(*args):
+        calls.add(1)
+        return nearest(*args)
+
+    monkeypatch.setattr(neighbours, "_nearest", counted)
+    vectors = np.random.default_rng(7).normal(size=(400, 12))
+    got = {r["key"]: r["neighbours"] for r in neighbours.nearest_neighbours(frame(spark, vectors), "key", "vec", 3, block=10).collect()}
+    assert all([n["key"] for n in got[i]] == [j for _, j in e] for i, e in enumerate(brute(vectors, 3)))
+    assert calls.value < 100  # 40 blocks were compared with each other
+
+
+def test_comparisons_are_exact_far_from_the_origin():
+    rng = np.random.default_rng(9)
+    for shift, scale in ((1e6, 1.0), (0.0, 1e200), (1e9, 1e-3)):
+        vectors = rng.normal(size=(60, 4)) * scale + shift
+        names = rng.permutation(60)
+        ids, gaps = neighbours._nearest(vectors, vectors, names, names, 4)
+        d = neighbours._distances(vectors, vectors)
+        np.fill_diagonal(d, np.inf)
+        for i in range(60):
+            want = sorted((x, n) for x, n in zip(d[i], names) if np.isfinite(x))[:4]
+            assert list(zip(gaps[i], ids[i])) == want
+
+
+def test_vectors_are_not_broadcast(spark):
+    df = spark.range(40).selectExpr("id", "id % 2 as y", "cast(id as double) as a", "cast(id % 7 as double) as b")
+    for plan in (resample.enn_removed(df, "y", ["a", "b"]), resample.tomek_links(df, "y", ["a", "b"])):
+        assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_row_has_no_neighbours(spark):
     got = nearest_neighbours(frame(spark, np.ones((1, 2))), "key", "vec", 3).collect()
     assert got[0]["neighbours"] == []
