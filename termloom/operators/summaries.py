@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.operators.spread import lookup_join
+from termloom.operators.spread import hot_hashes, key_hash, lookup_join
 from termloom.session import checkpointed
 
 # ``quantiles``: size of a rank sketch, the share of ranks added to both sides of what it says (several times its error),
@@ -291,17 +291,53 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return counted.select("bin", (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("left_edge"), "n")
 
 
-def counted_lists(df: DataFrame, keys: Sequence[str], lists: dict[str, str]) -> DataFrame:
+#: Rows of a group that one task lists.
+HOT_LIST_ROWS = 10_000
+
+
+def counted_lists(df: DataFrame, keys: Sequence[str], lists: dict[str, str], hot_rows: int = HOT_LIST_ROWS) -> DataFrame:
     """Group size and sorted lists per key: one row per key whatever the size of the group.
 
     A list holds each distinct item once, as ``{item, n}`` with how often it occurs (texts;
     null items are left out), so it is bounded by the catalogue it is drawn from and not by
-    the rows of the group. All lists share one count with map-side combine. Rows without a
-    key belong to no group.
+    the rows of the group. Rows without a key belong to no group.
+
+    The rows of a group are shuffled once, by its key, and counted there from sorted lists. Groups of about ``hot_rows`` rows
+    and more are too much for one task: their items are counted with map-side combine first, under a shuffle of their own.
     """
     keys = list(keys)
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
+    items = {f"_item{i}": F.col(c) for i, c in enumerate(lists.values())}
+    rows = checkpointed(df.select(*keys, *[c.alias(n) for n, c in items.items()]))
+    hot = F.broadcast(hot_hashes(rows, keys, hot_rows))  # bounded by the summary
+    marked = rows.withColumn("_hash", key_hash(keys, [rows.schema[k].dataType for k in keys])).join(hot, "_hash", "left")
+    rest = marked.filter(F.col("_salts").isNull()).select(*keys, *items)
+    sorted_ = rest.repartition(*keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("size"), *[F.sort_array(F.collect_list(F.col(c).cast("string"))).alias(c) for c in items]
+    )
+    starts = sorted_.withColumns({f"{c}_starts": _run_starts(F.col(c)) for c in items})
+    small = starts.select(*keys, "size", *[_runs(F.col(c), F.col(f"{c}_starts")).alias(name) for c, name in zip(items, lists)])
+    large = _lists_of_hot(marked.filter(F.col("_salts").isNotNull()), keys, dict(zip(lists, items)))
+    return small.unionByName(large)
+
+
+def _run_starts(values: Column) -> Column:
+    """Where a new value begins in a sorted list."""
+    at = F.sequence(F.lit(0), F.size(values) - 1)
+    return F.when(F.size(values) > 0, F.filter(at, lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
+def _runs(values: Column, starts: Column) -> Column:
+    return F.transform(starts, lambda i, j: F.struct(
+        F.get(values, i).alias("item"), (F.coalesce(F.get(starts, j + 1), F.size(values)) - i).cast("long").alias("n")
+    ))
+
+
+def _lists_of_hot(df: DataFrame, keys: Sequence[str], lists: dict[str, str]) -> DataFrame:
+    """``counted_lists`` of groups of any size; the lists share one count."""
     cells = [F.struct(F.lit(name).alias("list"), F.col(c).cast("string").alias("item")) for name, c in lists.items()]
     whole = F.struct(F.lit("").alias("list"), F.lit("").alias("item"))
     counts = (

@@ -73,6 +73,31 @@ def test_counted_lists_have_one_grain(spark):
     assert got[1:] == [(2, 3, "a b*2"), (3, 1, "")]
 
 
+def test_lists_of_small_and_large_groups_agree(spark):
+    """Every group below the bound, and every one above it."""
+    rows = [(i % 7, i % 3, None if i % 11 == 0 else i % 5, f"é{i % 4}" if i % 6 else None) for i in range(500)] + [(8, 0, None, None)]
+    df = spark.createDataFrame(rows, "k int, t int, a long, b string")
+    lists = {"first": "a", "second": "b"}
+    few, many = (counted_lists(df, ["k", "t"], lists, hot_rows=n) for n in (10_000, 1))
+    assert few.schema["first"].dataType == many.schema["first"].dataType
+    assert collect(few, "k", "t") == collect(many, "k", "t") and few.count() == 22
+    got = {(r["k"], r["t"]): r for r in few.collect()}
+    assert got[8, 0]["size"] == 1 and got[8, 0]["first"] == [] and got[8, 0]["second"] == []
+    own = [r for r in rows if r[:2] == (2, 1)]
+    assert got[2, 1]["size"] == len(own)
+    assert [tuple(x) for x in got[2, 1]["first"]] == [(str(a), sum(r[2] == a for r in own)) for a in sorted({r[2] for r in own} - {None})]
+
+
+def test_lists_of_small_groups_are_shuffled_once(spark):
+    df = spark.range(1000).selectExpr("id % 300 as k", "id % 7 as a", "id % 5 as b")
+    for n, exchanges in ((10_000, ["k"]), (1, [])):
+        lists = counted_lists(df, ["k"], {"x": "a", "y": "b"}, hot_rows=n)
+        lists.collect()
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        rest = plan.split("Initial Plan")[0] if n > 1 else ""
+        assert [x for x in ("k", "list") if f"{x}#" in "".join(l for l in rest.splitlines() if "Exchange hashpartitioning" in l)] == exchanges
+
+
 def test_first_per_key_and_flags_on_hot_keys(spark):
     from termloom.operators.rows import first_per_key, flag_repeated
 
