@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
-from termloom.operators.spread import left_join_spread
+from termloom.operators.spread import lookup_join
 
 
 def joined_lists(df: DataFrame, lists: Sequence[str], name: str) -> DataFrame:
@@ -50,8 +50,9 @@ def learned_from(counts: DataFrame, learn: Column) -> DataFrame:
 def learned_only(counts: DataFrame, learned: DataFrame) -> DataFrame:
     """Counts of the tokens of a learned vocabulary.
 
-    Joined after counting, with one row per key and token. A common word has a row for each key; how many is
-    found by a summary of frequent tokens, and just those are split and their word repeated.
+    Joined after counting, with one row per key and token. A vocabulary within the bound of ``lookup_join`` is broadcast. With a
+    larger one, a common word has a row for each key; how many is found by a summary of frequent tokens, and just those are split
+    and their word repeated.
     """
     known = learned.select("token", F.lit(True).alias("_known"))
-    return left_join_spread(counts, known, ["token"], counts.columns).filter("_known").drop("_known")
+    return lookup_join(counts, known, ["token"], counts.columns).filter("_known").drop("_known")

@@ -192,7 +192,7 @@ TOKENS = r"""tok AS (SELECT doc_id, token FROM (
 )
 def document_tokens(spark, sf_dir):
     rows = text_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
-    counts = token_counts(rows, "doc_id")
+    counts = checkpointed(token_counts(rows, "doc_id"))  # texts are split once
     return learned_only(counts, learned_from(counts, F.col("doc_id") % 4 != 0))
 
 

@@ -94,3 +94,9 @@ def test_quantiles_scan_twice_and_shuffle_no_values(spark, sf_dir, large_tables)
 def test_lists_are_counted_before_they_are_collected(spark, sf_dir, large_tables):
     plan = plan_of(spark, sf_dir, "e_term_lists")
     assert re.search(r"Exchange hashpartitioning\(id#\d+L?, year#\d+, trim#\d+, list#\d+, item#\d+", plan)
+
+
+def test_texts_are_split_once(spark, sf_dir, large_tables):
+    """What is counted is stored; vocabulary and counts read it."""
+    plan = plan_of(spark, sf_dir, "i_token_counts")
+    assert "split(" not in plan and "Generate" not in plan
