@@ -174,11 +174,11 @@ def test_fit_save_refit(spark, tmp_path):
     assert top["feature"] == "a" and top["importance"] > 0.9
 
 
-def test_fits_keep_node_ids_and_forests_use_several_tasks(spark):
+def test_forests_keep_node_ids_and_use_several_tasks(spark):
     df = people(spark)
     for kind in ("tree", "forest"):
         model = models.fit_classifier(df, ["a", "b"], "y1", kind, maxDepth=2)
-        assert model.stages[-1].getCacheNodeIds() and "cacheNodeIds" not in models.learner_params(model)
+        assert model.stages[-1].getCacheNodeIds() == (kind == "forest") and "cacheNodeIds" not in models.learner_params(model)
     many = spark.range(0, 2 * models.FOREST_ROWS + 1, 1, 1)
     assert models._dealt(many).rdd.getNumPartitions() == 3 and models._dealt(many).count() == many.count()
     assert models._dealt(many.limit(10)).rdd.getNumPartitions() == 1
