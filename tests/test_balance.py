@@ -77,6 +77,19 @@ def test_comparisons_are_exact_far_from_the_origin():
             assert list(zip(gaps[i], ids[i])) == want
 
 
+def test_rows_without_distances_hide_no_others(spark):
+    vectors = np.random.default_rng(10).normal(size=(200, 3))
+    vectors[::40, 1] = np.nan
+    vectors[7, 0] = np.inf
+    rows = [(i, [None if np.isnan(x) else float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "key long, vec array<double>")
+    got = {r["key"]: r["neighbours"] for r in neighbours.nearest_neighbours(df, "key", "vec", 3, block=10).collect()}
+    for i, expected in enumerate(brute(vectors, 3)):
+        assert [n["key"] for n in got[i]] == [j for _, j in expected]
+    only = neighbours.nearest_neighbours(df.filter("key = 0"), "key", "vec", 3)
+    assert [r["neighbours"] for r in only.collect()] == [[]]
+
+
 def test_vectors_are_not_broadcast(spark):
     df = spark.range(40).selectExpr("id", "id % 2 as y", "cast(id as double) as a", "cast(id % 7 as double) as b")
     for plan in (resample.enn_removed(df, "y", ["a", "b"]), resample.tomek_links(df, "y", ["a", "b"])):
