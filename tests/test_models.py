@@ -1,17 +1,20 @@
 """Components, imputation, trees, search, cascade."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from termloom.operators import models
+from termloom.operators import components, models
 from termloom.operators.cascade import Stage, fit_cascade, load_cascade, save_cascade, score_cascade
 from termloom.operators.components import (
     Components, CountComponents, fit_components, fit_count_components,
 )
 from termloom.operators.encode import encode_labels, fit_labels
 from termloom.operators.impute import Chain, fit_class_chain, fit_linear_chain
+from termloom.session import checkpoint_dir
 from tests.conftest import collect
 
 
@@ -91,6 +94,30 @@ def test_components_on_a_slowly_falling_spectrum(spark):
         fit_count_components(spark.range(150), counts, 4, extra=4, rounds=1, strict=True)
 
 
+def test_components_in_groups_leave_one_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    matrix = rng.poisson(np.outer(rng.random(50) * 4, rng.random(40)))
+    cells = [(i, f"t{j}", int(n)) for (i, j), n in np.ndenumerate(matrix) if n]
+    counts = spark.createDataFrame([*cells, (None, "t1", 1)], "id long, token string, n long")
+    for name, size in (("GROUP_ROWS", 16), ("LEAST_ROWS", 1), ("CELLS", 70), ("LAYERS", 2)):
+        monkeypatch.setattr(components, name, size)
+    rows = components._group_rows(50)
+    by_token = components._cells(
+        spark.createDataFrame(cells, "e long, token string, n long")
+        .select("e", F.substring("token", 2, 9).cast("long").alias("t"), F.col("n").cast("double").alias("n")), "t", "e", rows
+    )
+    assert by_token.count() == len({(t, e // rows) for e, t, _ in cells}) < len(cells)  # vectors that travel
+    at = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    fitted = fit_count_components(spark.range(50), counts, 3, extra=17, rounds=8, tol=1e-6)
+    assert len(set(os.listdir(at)) - before) == 1  # the loadings; the tables of the rounds have gone
+    s = np.linalg.svd(matrix - matrix.mean(axis=0), compute_uv=False) ** 2
+    assert np.allclose(fitted.explained, (s / s.sum())[:3], rtol=1e-6)
+    v = {r["token"]: r["weights"] for r in fitted.loadings.collect()}
+    v = np.array([v.get(f"t{j}", [0.0] * 3) for j in range(40)])
+    assert np.allclose(np.linalg.norm(v, axis=0), 1, atol=1e-8)
+
+
 def test_encoder_gives_unseen_and_null_the_next_code(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "id long, v string")
     table = fit_labels(df, "v")
