@@ -165,12 +165,35 @@ def fold_rows(
     return checkpointed(df.select(*key, label, *features).withColumn("_fold", hash_share(key, seed, folds)))
 
 
+def _same_fit(point: Mapping, kind: str, n_rows: int) -> str:
+    """Equal for settings that give the same model of ``n_rows`` rows.
+
+    A split of a tree needs a least number of rows on both sides and a least share of all rows. Rows of a tree have no
+    weights, so the greater of the two numbers decides, and the other one changes nothing.
+    """
+    settings = dict(point)
+    if kind == "tree":
+        least, share = settings.pop("minInstancesPerNode", 1), settings.pop("minWeightFractionPerNode", 0.0)
+        settings["_least"] = max(least, math.ceil(share * n_rows))
+    return json.dumps(settings, sort_keys=True)
+
+
 def score_points(
     data: DataFrame, features: Sequence[str], label: str, kind: str, points: Sequence[dict],
-    folds: int, seed: int = 42, parallelism: int = 4,
+    folds: int, seed: int = 42, parallelism: int = 4, fitted: dict | None = None,
 ) -> list[dict]:
     """Mean accuracy, its standard error and the mean fit time of each point. Fits of all points and folds are
-    submitted ``parallelism`` at a time."""
+    submitted ``parallelism`` at a time.
+
+    Points whose settings mean the same on the rows of a fold share one fit. ``fitted`` keeps what was found for later
+    calls with the same arguments.
+    """
+    fitted = {} if fitted is None else fitted
+    if "_rows" not in fitted:
+        held = {r["_fold"]: r["count"] for r in data.groupBy("_fold").count().collect()}  # one row a fold
+        fitted["_rows"] = [sum(held.values()) - held.get(f, 0) for f in range(folds)]
+    names = [(_same_fit(p, kind, fitted["_rows"][f]), f) for p in points for f in range(folds)]
+
     def one(job: tuple[dict, int]) -> tuple[float | None, float]:
         point, fold = job
         train, test = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
@@ -180,8 +203,11 @@ def score_points(
         hit = F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double"))
         return model.transform(test).agg(hit.alias("a")).first()["a"], took
 
+    jobs = dict(zip(reversed(names), reversed([(p, f) for p in points for f in range(folds)])))  # the first of equal ones
+    new = [n for n in dict.fromkeys(names) if n not in fitted]
     with ThreadPool(parallelism) as pool:
-        done = pool.map(one, [(p, f) for p in points for f in range(folds)], chunksize=1)
+        fitted.update(zip(new, pool.map(one, [jobs[n] for n in new], chunksize=1)))
+    done = [fitted[n] for n in names]
     trials = []
     for i, point in enumerate(points):
         part = done[i * folds : (i + 1) * folds]

@@ -94,10 +94,12 @@ def search_adaptive(
     space: Mapping[str, Sequence] = TREE_GRID, n_iter: int = 150, folds: int = 2,
     seed: int = 42, parallelism: int = 8, start: int = START, batch: int = BATCH,
 ) -> list[dict]:
-    """Cross-validated trials by accuracy. All points see the same folds, which are stored once."""
+    """Cross-validated trials by accuracy. All points see the same folds, which are stored once. Settings that
+    mean the same are fitted once."""
     data = fold_rows(df, features, label, folds, key, seed)
+    fitted: dict = {}
 
     def run(points: list[dict]) -> list[dict]:
-        return score_points(data, features, label, kind, points, folds, seed, parallelism)
+        return score_points(data, features, label, kind, points, folds, seed, parallelism, fitted)
 
     return adaptive_search(run, space, n_iter, start, batch, seed)

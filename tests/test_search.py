@@ -79,6 +79,22 @@ def test_search_against_every_point(spark):
     assert all(t["mean_test_score"] == pytest.approx(scores[str(t["params"])]) for t in some)
 
 
+def test_settings_that_mean_the_same_are_fitted_once(spark, monkeypatch):
+    df = rows(spark)
+    space = {"maxDepth": [3], "minInstancesPerNode": [1, 2, 5], "minWeightFractionPerNode": [0.0, 0.2]}
+    points = models.grid(space)
+    data = models.fold_rows(df, ["a", "b"], "y", 2, ["id"])
+    alone = [models.score_points(data, ["a", "b"], "y", "tree", [p], 2)[0]["mean_test_score"] for p in points]
+    fits, fit = [], models.fit_classifier
+    monkeypatch.setattr(models, "fit_classifier", lambda *a, **k: fits.append(k) or fit(*a, **k))
+    trials = search.search_adaptive(df, ["a", "b"], "y", space=space, n_iter=6, start=2, batch=2)
+    assert len(trials) == 6 and len(fits) == 2 * (3 + 1)  # a fifth of the rows is more than five rows
+    assert {str(t["params"]): t["mean_test_score"] for t in trials} == {str(p): a for p, a in zip(points, alone)}
+    few = [models._same_fit(p, "tree", 10) for p in points]
+    assert len(set(few)) == 3 and few[3] == few[2] and few[5] == few[4]  # two of ten rows: the number decides from two on
+    assert len({models._same_fit(p, "forest", 10) for p in points}) == 6
+
+
 @pytest.mark.parametrize("kind, space", [("tree", {"maxDepth": [1, 4]}), ("forest", {"numTrees": [2, 4], "maxDepth": [1, 4]})])
 def test_job_stores_the_best_model(spark, tmp_path, kind, space):
     df = rows(spark)
