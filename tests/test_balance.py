@@ -1,5 +1,7 @@
 """Neighbours against brute force; balancing by its properties."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,26 @@ def test_split_is_by_key(spark):
     assert 900 < test.count() < 1100
     again = train_test(df.orderBy(F.desc("id")).repartition(9))[1]
     assert collect(test, "id") == collect(again, "id")
+
+
+def test_rows_that_take_turns_find_the_same(spark, monkeypatch):
+    """What visits move at a time is bounded, and the tables of a round go."""
+    from termloom.operators import neighbours
+    from termloom.session import checkpoint_dir
+
+    rng = np.random.default_rng(21)
+    vectors = rng.normal(size=(300, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vec array<double>")
+    turns, kept = [], neighbours._turns
+    monkeypatch.setattr(neighbours, "_turns", lambda *a: turns.append(kept(*a)) or turns[-1])
+    monkeypatch.setattr(neighbours, "BATCH_ROWS", 40)
+    monkeypatch.setattr(neighbours, "WAVE_BYTES", 300 * 24 * 8 * 4)
+    at = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    near = neighbours.nearest_neighbours(df, "id", "vec", 3, block=20)
+    assert max(turns) > 1
+    assert len(set(os.listdir(at)) - before) <= 1 + max(turns)  # the rows and what was found last
+    d = np.sqrt(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = {i: [int(j) for j in np.argsort(r, kind="stable")[:3]] for i, r in enumerate(d)}
+    assert {r["key"]: [x["key"] for x in r["neighbours"]] for r in near.collect()} == want
